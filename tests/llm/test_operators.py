@@ -1,0 +1,416 @@
+"""The corpus operators against brute force, on the smallest tables and on rows of every awkward kind."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from gridloom.llm import bpe, langid, lines, mtree, packing, quality, queries, secrets, simhash, tokens, warc
+
+LONG = " ".join(f"word{i % 997} Zeile{i % 31}." for i in range(20_000))
+ODD = [None, "", " \n\t ", "a", "a b", "A  b\nA  b", "İß Ḧ é 中文 😀", "token = abc password:'s3cretpw' AKIA" + "A" * 20 + " " + "0af9" * 9, "<|endoftext|> x<|endoftext|>  ", "the the the " * 40, "x" * 5000, LONG, "A b\u0085c\x1cd\x0be\x0cf"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, node string, length long, piece int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(None if i == 3 else i, t, "en" if i % 2 else None, None if i % 3 == 0 else "h", None, "clash", "clash", -1, 0) for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows + rows[4:8] + [(None, None, None, None, None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def test_token_counts(docs, odd, empty):
+    own = Tokenizer.from_file(queries.WORD_BPE)
+    for df in (docs, odd):
+        texts = [r["text"] or "" for r in df.collect()]
+        got = [(r["n_bytes"], r["n_tokens"]) for r in tokens.count_tokens(df, queries.WORD_BPE).collect()]
+        assert got == [(len(t.encode()), len(own.encode(t, add_special_tokens=False).ids)) for t in texts]
+    assert tokens.count_tokens(empty, queries.WORD_BPE).count() == 0
+
+
+@pytest.mark.parametrize("path", [queries.WORD_BPE, queries.BYTE_BPE, queries.PIECES])
+def test_resynchronisation(path, docs):
+    if path.endswith(".json"):
+        whole = Tokenizer.from_file(path)
+        encode = lambda t: whole.encode(t, add_special_tokens=False).ids
+    else:
+        encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    for t in [x or "" for x in ODD] + [r["text"] for r in docs.limit(20).collect()]:
+        got = [int(i) for part in tokens.spliced_ids(path, t[:20_000], 200, 16) for i in part]
+        assert got == list(encode(t[:20_000]))
+
+
+def test_bpe_round_trip(docs, odd, empty):
+    own = Tokenizer.from_file(queries.BYTE_BPE)
+    for df in (docs, odd):
+        texts = [r["text"] or "" for r in df.collect()]
+        for t, r in zip(texts, bpe.encode_decode(df, queries.BYTE_BPE).collect()):
+            ids = own.encode(t, add_special_tokens=False).ids
+            assert (r["n_tokens"], bytes(r["ids"]).decode()) == (len(ids), ",".join(map(str, ids)))
+            assert bytes(r["decoded"]).decode() == own.decode(ids, skip_special_tokens=False) == bpe.decode_ids(ids, queries.BYTE_BPE)
+    assert bpe.encode_decode(empty, queries.BYTE_BPE).count() == 0
+
+
+def test_bpe_random_words():
+    own, codec, draw = Tokenizer.from_file(queries.BYTE_BPE), bpe.Codec(queries.BYTE_BPE), random.Random(7)
+    for _ in range(3000):
+        t = "".join(draw.choice("aeiounthsrd'lm .,\n\t中é0９ ") for _ in range(draw.randrange(40)))
+        assert codec.encode(t)[1].decode() == ",".join(map(str, own.encode(t, add_special_tokens=False).ids))
+
+
+def test_packing(docs, odd, empty):
+    own = Tokenizer.from_file(queries.WORD_BPE)
+    for df in (docs, odd):
+        want = Counter()
+        for r in df.collect():
+            ids = [*own.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+            for n, at in enumerate(range(0, len(ids), 4096)):
+                part = np.array(ids[at : at + 4096], dtype="<u4")
+                want[r["doc_id"], n, at, len(part), zlib.crc32(part.tobytes())] += 1
+        got = packing.pack_documents(df, queries.WORD_BPE).collect()
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        places = defaultdict(list)
+        for r in got:
+            places[r["sequence_id"]].append((r["offset"], r["length"]))
+        for found in places.values():
+            at = 0
+            for offset, length in sorted(found):
+                assert offset == at
+                at += length
+            assert at <= 4096
+        total = sum(r["length"] for r in got)
+        assert len(places) <= -(-total // 4096) * 11 / 9 + 2
+    assert packing.pack_documents(empty, queries.WORD_BPE).count() == 0
+
+
+def test_sweep_is_best_fit_decreasing():
+    draw = random.Random(3)
+    for _ in range(200):
+        cap = draw.choice([10, 50, 97])
+        items = sorted((draw.randint(1, cap) for _ in range(draw.randrange(1, 120))), reverse=True)
+        gaps = []
+        for x in items:
+            fit = min((g for g in gaps if g >= x), default=None)
+            if fit is None:
+                gaps.append(cap - x)
+            else:
+                gaps[gaps.index(fit)] = fit - x
+        flows, opened = packing.sweep(dict(Counter(items)), cap)
+        assert opened == len(gaps)
+        assert sum(f[2] for f in flows) == len(items)
+
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count, cover = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if count[w] > 1:
+            cover |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover)
+
+
+def test_quality_rules(docs, odd, empty):
+    for df in (docs, odd):
+        want = Counter((r["doc_id"], *brute_quality(r["text"])) for r in df.collect())
+        got = quality.line_statistics(df).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+        assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) for r in got)
+        assert not any(r["kept"] and r["base_failed"] for r in got)
+        kept = quality.clean_lines(df)
+        assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in got)
+    assert quality.line_statistics(empty).count() == 0 == quality.clean_lines(empty).count()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_quality_lines(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(quality, "BROADCAST_LINES", -1)
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    menu = " ".join(word() for _ in range(60))
+    body = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"{menu}\n{body(70)}", "a") for i in range(30)]  # common line, most words their own
+    rows += [(100 + i, f"{body(20)}\n{menu}", "a") for i in range(30)]  # little else: depleted
+    copy = f"{body(80)}\n{body(80)}\n{body(80)}"
+    rows += [(200 + i, copy.replace(copy[3 * i : 3 * i + 2], "zz"), "a") for i in range(40)]  # near copies stay
+    rows += [(300 + i, f"{menu}\n{body(30)}", "b") for i in range(5)]  # not frequent there
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.line_statistics(df).collect()}
+    assert all(kept[i] == (not 100 <= i < 200) for i in kept)
+    clean = {r["doc_id"]: r["text"] for r in quality.clean_lines(df).collect()}
+    assert set(clean) == {i for i in kept if kept[i]} and menu not in clean[0] and menu in clean[300]
+
+
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secrets(docs, odd, empty):
+    for df in (docs, odd):
+        for r, s in zip(df.collect(), secrets.scan(df).collect()):
+            base = [(x["start"], secrets.KINDS.index(x["kind"]), x["end"]) for x in s["found"] if x["kind"] != "novel"]
+            assert base == brute_base(r["text"] or "")
+        assert secrets.redact(df).count() == df.count()
+    assert secrets.scan(empty).count() == 0 == secrets.redact(empty).count()
+    assert brute_base("secret:token:abcdefg") == secrets.base_spans("secret:token:abcdefg") == []
+
+
+def test_novelty():
+    find = lambda t: [t[a:b] for a, _, b in secrets.novel_spans(t, [], secrets.Novelty())]
+    assert find("auth header Bearer q8Zk3TnV0xYw7LrJ2mPd5sHb then") == ["q8Zk3TnV0xYw7LrJ2mPd5sHb"]
+    assert find("token the value from abcdefghijklmnop1234567890 the") == []
+    assert find("a plain line with q8Zk3TnV0xYw7LrJ2mPd5sHb in it") == []
+    assert secrets.redacted("ab SECRET cd", [(3, 9), (5, 9)], "#") == "ab # cd"
+
+
+def test_language(spark, docs, odd, empty):
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    labelled = docs.where((fold != 0) & F.col("lang").isNotNull())
+    got = {r["doc_id"]: r for r in langid.predict(docs, labelled, queries.PIECES).collect()}
+    held = [r for r in docs.where(fold == 0).collect()]
+    assert sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    strange = langid.predict(odd, labelled, queries.PIECES).collect()
+    for r, t in zip(strange, [x["text"] for x in odd.collect()]):
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in t or ""))
+    assert all(r["lang_pred"] == "und" for r in langid.predict(odd, odd.where("false"), queries.PIECES).collect())
+    assert langid.predict(empty, labelled, queries.PIECES).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    vocabulary = {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}
+    chance = np.array([[0.0], [0.2], [0.3], [0.1], [0.15], [0.25]])
+
+    def brute(w):
+        return 1.0 if not w else sum(chance[vocabulary[w[:k]], 0] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in vocabulary) + langid.UNKNOWN * brute(w[1:])
+
+    for w in ("abab", "ababa", "bb", "abba"):
+        assert langid.forward(langid.lattice([w], vocabulary), chance)[0, len(w), 0] == pytest.approx(brute(w))
+
+
+def brute_top(rows, k=5):
+    x = {i: np.floor(256 * np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)}
+    width = max(map(len, x.values()), default=0)
+    x = {i: np.pad(v, (0, width - len(v))) for i, v in x.items()}
+    return sorted((q, n + 1, i, s) for q in x if q % 50 == 0 for n, (s, i) in enumerate(sorted(((int(x[q] @ x[i]), i) for i in x if i != q), key=lambda e: (-e[0], e[1]))[:k]))
+
+
+def test_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    asked = vectors.where("vec_id % 50 = 0")
+    for tree in (100, 16_384):
+        got = mtree.top_k(vectors, asked, tree=tree)
+        assert rows_of(got, "query_id", "rank", "id", "score") == sorted(brute_top(rows), key=str)
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, 0.25]), (1, None), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [0.5, 0.25]), (6, [0.5]), (7, []), (50, [-1.0, 3.0]), (8, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = mtree.top_k(df, df.where("vec_id % 50 = 0"))
+    assert rows_of(got, "query_id", "rank", "id", "score") == sorted(brute_top(rows), key=str)
+    assert mtree.top_k(df.where("false"), df.where("false")).count() == 0
+
+
+def test_search_spares_distances():
+    draw = np.random.default_rng(0)
+    centres = draw.integers(-200, 200, (40, 16))
+    x = (centres[draw.integers(0, 40, 4000)] + draw.integers(-6, 7, (4000, 16))).astype(np.float64)
+    ids, stats = np.arange(4000), {}
+    pages = mtree.bulk_load(ids, x)
+    for q in range(0, 4000, 97):
+        got = mtree.search(pages, ids, x, q, x[q], 5, stats)
+        score = x @ x[q]
+        want = sorted(((int(s), int(i)) for s, i in zip(score, ids) if i != q), key=lambda e: (-e[0], e[1]))[:5]
+        assert got == want
+    assert stats["computed"] < 0.5 * 42 * 4000
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(keys, prints, radius):
+    root = list(range(len(keys)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(keys)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, k in enumerate(keys):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    return [least.get(find(i)) for i in range(len(keys))]
+
+
+def test_simhash(docs, odd, empty):
+    for df in (docs, odd):
+        rows = df.collect()
+        prints = [brute_fingerprint(r["text"]) for r in rows]
+        labels = brute_components([r["doc_id"] for r in rows], prints, 2)
+        want = Counter((r["doc_id"], f"{p:016x}", c) for r, p, c in zip(rows, prints, labels))
+        assert Counter(tuple(r) for r in simhash.near_duplicates(df).select("doc_id", "fingerprint", "component_id").collect()) == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_links_and_chains(spark):
+    draw = random.Random(5)
+    prints = {draw.getrandbits(64) for _ in range(400)}
+    for p in list(prints)[:40]:
+        for _ in range(12):  # chains of near fingerprints
+            p ^= 1 << draw.randrange(64)
+            p ^= (1 << draw.randrange(64)) * draw.randrange(2)
+            prints.add(p)
+    prints = sorted(prints)
+    df = spark.createDataFrame([(f"{p:016x}", 0) for p in prints], "node string, size long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.linked(df, 1, 2, tile=16)).collect()}
+    labels = brute_components([f"{p:016x}" for p in prints], prints, 2)
+    assert [got.get(f"{p:016x}", f"{p:016x}") for p in prints] == labels
+
+
+def test_components_of_a_long_path(spark):
+    names = [f"{i:05d}" for i in range(300)]
+    random.Random(2).shuffle(names)
+    df = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(names, names[1:])], "a string, b string")
+    got = simhash.components(df).collect()
+    assert {r["root"] for r in got} == {"00000"} and len(got) == 299
+
+
+def test_line_dedup(spark, docs, odd, empty):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    passage = " ".join(sentence(12) for _ in range(5))
+    rows = [(i, f"{sentence(15)} {sentence(9)[:-1]} {passage} {sentence(14)}\n{sentence(20)}") for i in (5, 2, 9)]
+    rows += [(20, sentence(30)), (21, None), (22, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
+    assert got[2]["text"] == dict(rows)[2] and passage not in got[5]["text"] and passage not in got[9]["text"]
+    for i in (5, 9):
+        text = dict(rows)[i]
+        assert [text[s["start"] : s["end"]] for s in got[i]["_spans"]] == [passage]
+        assert len(got[i]["text"]) in (len(text) - len(passage) - 1, len(text) - len(passage))
+    assert got[20]["text"] == dict(rows)[20] and got[21]["text"] is None
+    for df in (docs, odd):
+        out = lines.dedup_lines(df)
+        assert out.columns == [*df.columns, "_spans"] and out.count() == df.count()
+    assert lines.dedup_lines(empty).count() == 0
+
+
+def test_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = [(5, "u\r\nx", "same"), (3, None, "same"), (9, "u", "same"), (1, "u", None), (2, "u", ""), (None, "u", "alone"), (None, "u", "same"), (7, "u", "é" * 100_000), (7, "u", "é" * 100_000)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for df, least in ((pages, 0), (odd, 0), (odd, 5)):
+        want = Counter()
+        body = lambda r: (r["html"] or "").encode()
+        every = df.collect()
+        for r in every:
+            same = [x["page_id"] for x in every if body(x) == body(r) and x["page_id"] is not None]
+            first = min(same) if same and len(body(r)) >= least else r["page_id"]
+            revisit = first != r["page_id"]
+            want[r["page_id"], len(body(r)), warc.payload_digest(body(r)), "revisit" if revisit else "response", first if revisit else None] += 1
+        got = warc.round_trip(df, least)
+        assert Counter(tuple(r) for r in got.select("number", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+    assert warc.round_trip(odd.where("false")).count() == 0
+
+
+def test_warc_reader_validates():
+    import io
+
+    import zstandard
+
+    body = warc.record(1, "u", b"hello", warc.payload_digest(b"hello"), None)
+    shared = b"WARC/1.1 response hello" * 4
+    frame = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(shared)).compress
+    good = warc.skippable(shared) + frame(body) + frame(body)
+    assert [b for _, b in warc.read_records(io.BytesIO(good), chunk=7)] == [b"hello"] * 2
+    for bad in (good[:-3], good[:20], warc.skippable(shared) + frame(body[:-1]), warc.skippable(shared) + frame(body.replace(b"hello", b"hallo")), warc.skippable(shared) + frame(body.replace(b"WARC/1.1", b"HTTP/1.1")), good + b"junkjunk"):
+        with pytest.raises(warc.BadArchive):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_pipeline(spark, odd, empty, docs, sf_dir):
+    for df in (docs, odd, empty):
+        now = df
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, now = now, stage(spark, now, sf_dir)
+            if n < 4:
+                assert now.columns == df.columns
+                rows = now.collect()
+                now = spark.createDataFrame(rows, df.schema)
+                if n in (2, 3):
+                    assert len(rows) == before.count()
+        assert now.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def test_pipeline_near_copies(spark, sf_dir):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(5))
+    base = [[word() for _ in range(300)] for _ in range(30)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i, b in enumerate(base[:15]):
+        edited = list(b)
+        for k in draw.sample(range(300), 4):
+            edited[k] = word()
+        rows.append((100 + i, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()}
+    assert kept == set(range(30))
+
+
+def test_digests_of_queries(spark, sf_dir, docs):
+    got = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, sf_dir).collect()}
+    for r in docs.collect():
+        base = brute_base(r["text"] or "")
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        own = got[r["doc_id"]]
+        assert own["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert (own["n_assign"], own["n_access"], own["n_hex"]) == tuple(sum(x[1] == k for x in base) for k in range(3))
+    own = Tokenizer.from_file(queries.BYTE_BPE)
+    got = {r["doc_id"]: r for r in queries.op9_bpe(spark, sf_dir).collect()}
+    for r in docs.collect():
+        ids = own.encode(r["text"], add_special_tokens=False).ids
+        assert got[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
