@@ -34,16 +34,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id; of equal rows, one."""
     names = docs.columns
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, RADIUS, LANES, similarity=SIMILARITY)
-    keys = materialise(found.select("doc_id", "component_id").distinct(), "keys")
-    first = keys.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    # a doc_id that repeats leaves one row
-    repeated = materialise(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeated")
-    once = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in names if c != "doc_id" and _sortable(docs, c)])
-    several = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return once.unionByName(several).select(*[F.col(f"`{c}`") for c in names])
+    found = materialise(simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, RADIUS, LANES, similarity=SIMILARITY), "groups")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
+    first = materialise(first, "first")
+    # a shuffle join at every size: what stays grows with the documents
+    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")))
+    if first.where("_rows > 1").limit(1).count():  # a doc_id that repeats leaves one row
+        order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in names if c != "doc_id" and _sortable(docs, c)])
+        several = kept.where("_rows > 1").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        kept = kept.where("_rows = 1").unionByName(several)
+    return kept.select(*[F.col(f"`{c}`") for c in names])
 
 
 def _sortable(docs: DataFrame, name: str) -> bool:
