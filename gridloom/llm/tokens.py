@@ -36,7 +36,7 @@ STABLE = re.compile(rf"(?<=[^\s\x1c-\x1f\x85])(?=[{SPACE}])")
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 512
 #: Entries of one memo generation in a worker.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES, MEMO_WORDS = 300_000, 600_000
 #: Stands between chunks that are encoded together; chunks that hold it are encoded alone.
 SENTINEL = "\x01"
 
@@ -99,14 +99,52 @@ class SpaceMemo:
 
     PARTS = re.compile(rb"([!-~]*[A-Za-z0-9])([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES, words: int = MEMO_WORDS):
         self.library = library(path)
-        self.chunks, self.words = Memo(entries), Memo(entries)
+        self.chunks, self.words = Memo(entries), Memo(words)
+        self.bare, self.ends = self.bare_model()
         sentinel = self.library.ids(SENTINEL)
         self.sentinel = sentinel[0] if len(sentinel) == 1 else None
 
+    def bare_model(self):
+        """The library's model without normalisation and patterns, which change nothing in words of a to z, and which
+        ids end a word; (None, None) where the model does not mark word ends."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = self.library.tokenizer
+        suffix = getattr(whole.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None, None
+        bare = Tokenizer(whole.model)
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = whole.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, n in vocabulary.items():
+            ends[n] = token.endswith(suffix)
+        trial = "the quick brown fox jumps over a lazy dog antidisestablishmentarianism qxzjkvw"
+        same = bare.encode(trial, add_special_tokens=False).ids == self.library.ids(trial)
+        return (bare, ends) if same else (None, None)
+
     def encode_all(self, found: list[bytes]) -> list[bytes]:
-        """Ids of each string by the library, many in one call, told apart by a sentinel."""
+        """Ids of each string by the library, many in one call."""
+        if self.bare is None:
+            return self.encode_marked(found)
+        out: list = [None] * len(found)
+        easy = [i for i, b in enumerate(found) if b.isalpha() and b.islower()]  # of bytes: a to z only
+        for at in range(0, len(easy), 512):
+            part = easy[at : at + 512]
+            ids = np.array(self.bare.encode(b" ".join([found[i] for i in part]).decode(), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(part):
+                for i, a, b in zip(part, [0, *stops], stops):
+                    out[i] = ids[a:b].tobytes()
+        rest = [i for i, value in enumerate(out) if value is None]
+        for i, value in zip(rest, self.encode_marked([found[i] for i in rest])):
+            out[i] = value
+        return out
+
+    def encode_marked(self, found: list[bytes]) -> list[bytes]:
+        """Ids of any strings by the library, many in one call, told apart by a sentinel."""
         texts = [b.decode("utf-8", "replace") for b in found]
         plain = [i for i, t in enumerate(texts) if SENTINEL not in t] if self.sentinel is not None else []
         out: list = [None] * len(found)
