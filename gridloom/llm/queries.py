@@ -76,8 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL = {
     "op4_top_k": """
         WITH good AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -89,7 +89,7 @@ SQL = {
         WITH hashed AS (
             SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
         ), named AS (
-            SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), k ->
+            SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda k:
                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (k // 4 * 5 + 1)::BIGINT, 5))::BIGINT // (32 ** (3 - k % 4))::BIGINT) % 32)::BIGINT, 1)), 'string_agg', '') AS payload_digest
             FROM hashed
         ), firsts AS (
