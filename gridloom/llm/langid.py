@@ -27,10 +27,10 @@ from gridloom.llm.common import Memo, parts_of, per_batch, small_batches
 PER_LANGUAGE, MAX_WORDS = 600, 30_000
 ROUNDS, SMOOTHING, UNKNOWN = 3, 0.05, 1e-7
 #: Longest piece used, and longest part of a word scored at once.
-MAX_PIECE, MAX_WORD = 10, 40
+MAX_PIECE, MAX_WORD = 8, 40
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 450_000
 
 
 @lru_cache(maxsize=2)
