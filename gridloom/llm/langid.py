@@ -13,6 +13,7 @@ repeated rows give repeated rows; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -147,6 +148,18 @@ class Scorer:
         return [np.array([known[w] for w in words]).sum(axis=0) if words else None for words in split]
 
 
+#: The scorer of this worker process and the digest of its model; kept over tasks.
+KEPT: dict[bytes, Scorer] = {}
+
+
+def kept_scorer(path: str, table: np.ndarray) -> Scorer:
+    digest = hashlib.sha1(table.tobytes()).digest()
+    if digest not in KEPT:
+        KEPT.clear()
+        KEPT[digest] = Scorer(pieces(path), table)
+    return KEPT[digest]
+
+
 def sample_counts(labelled: DataFrame, per_language: int, max_words: int, key: str, text: str, lang: str) -> dict[str, dict[str, int]]:
     """Word counts of each language over a sample by hash of about so many documents a language; bounded by parameters."""
     totals = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
@@ -188,7 +201,7 @@ def predict(df: DataFrame, labelled: DataFrame, path: str, text: str = "text", k
 
     def make():
         names, chances = shipped.value
-        scorer = Scorer(pieces(path), chances) if names else None
+        scorer = kept_scorer(path, chances) if names else None
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
