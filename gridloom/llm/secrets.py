@@ -54,7 +54,6 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False)
 
     def added(self, context: str, candidate: str) -> int:
-        # a copy of the context's alphabet follows, so that its literals are paid for before the candidate comes
         head = context.encode("utf-8", "replace")
         return len(self.compressor.compress(head + candidate.encode("utf-8", "replace"))) - len(self.compressor.compress(head))
 

@@ -158,7 +158,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, size_a: np.ndarray | None
 
 
 def linked(prints: DataFrame, lanes: int, radius: int, words: int = 4, similarity: float = 0.0, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, thinned to forests; prints: node and size, distinct."""
+    """Links (a, b) between distinct fingerprints, thinned to forests; prints: distinct (node, size)."""
     cell, reach = size_cells(similarity) if similarity else count_cells(words, radius)
 
     def lane_array(nodes: list[str]) -> np.ndarray:
@@ -241,7 +241,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, lanes: int
     full = F.concat("node", F.lit(":"), F.col("size").cast("string")) if similarity else F.col("node")
     prints = prints.withColumn("own", full)
     distinct = materialise(prints.groupBy("own", "node", "size" if similarity else F.lit(0).cast("long").alias("size")).agg(F.min("doc_id").alias("least")), "distinct")
-    links = linked(distinct.groupBy("node").agg(F.min("size").alias("size")) if similarity else distinct, lanes, radius, words, similarity)
+    links = linked(distinct, lanes, radius, words, similarity)  # a fingerprint is there once for each of its sizes
     roots = components(links)
     labelled = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
