@@ -2,25 +2,32 @@
 
 A text is cut into units: at line ends, after sentence ends that white space follows, and before a capitalised word
 inside a line (where inserted passages tend to begin). Units are normalised (letters and digits of any script,
-lower-cased, single spaces) and digested; digests are grouped over the whole corpus, and the occurrence with the
-smallest (doc_id, position) keeps the text. Every other occurrence is a repeat. Repeats are removed in runs of
-neighbouring repeated units: a run goes if it has at least `min_words` words, or one unit of `min_unit` words, so that
-short phrases which recur by chance stay. Removed spans keep their offsets in the original text.
+lower-cased, single spaces) and digested to 128 bits; digests are grouped over the whole corpus, and the occurrence with
+the smallest (doc_id, text hash, position) keeps the text. Every other occurrence is a repeat. Repeats are removed in
+runs of neighbouring repeated units: a run goes if it has at least `min_words` words, or one unit of `min_unit` words, so
+that short phrases which recur by chance stay. Removed spans keep their offsets in the original text.
+
+The grouping is one range sort by digest and rank, so a digest however frequent spreads over as many tasks as its rows
+need; each task flags all but the first of a digest, and whether its own first row goes on from an earlier task is
+settled from one row a task.
 
 Defined results: null text has no unit and stays null; units without letter or digit belong to the run around them;
-rows with a null doc_id rank last, by text digest; equal rows (same doc_id and text) are one document and are treated
+rows with a null doc_id rank last, by text hash; equal rows (same doc_id and text) are one document and are treated
 alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import binary_lists, materialise, per_batch, small_batches
+from gridloom.llm.common import materialise, small_batches
 
 #: Boundaries between units: line ends, sentence ends, and a capitalised word after a word without a stop.
 BOUNDARY = regex.compile(r"\n|(?<=[.!?…])[ \t]+|[ \t]+(?=\p{Lu}\p{Ll})")
@@ -29,18 +36,24 @@ WORDS = regex.compile(r"[\p{L}\p{N}]+")
 MIN_WORDS, MIN_UNIT = 20, 8
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit of a text that has a word; offsets in code points."""
+def units(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each unit of a text that has a word; offsets in code points."""
     out, at = [], 0
     for m in [*BOUNDARY.finditer(text), None]:
         stop = m.start() if m else len(text)
         words = WORDS.findall(text, at, stop)
         if words:
-            out.append((at, stop, len(words), xxhash.xxh3_128_digest(" ".join(words).lower().encode())))
+            out.append((at, stop, words))
         at = m.end() if m else stop
     return out
 
 
+def digests(text: str | None) -> np.ndarray:
+    """The digest of each unit, as two signed numbers a row."""
+    found = b"".join(xxhash.xxh3_128_digest(" ".join(words).lower().encode()) for _, _, words in units(text or ""))
+    return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
+
+
 def runs(found: list[tuple[int, int, int, bool]], min_words: int, min_unit: int) -> list[tuple[int, int]]:
     """Spans of the runs of repeated units that go; found: (start, end, words, repeated) in order."""
     out, run = [], []
@@ -67,74 +80,97 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def repeated_spans(df: DataFrame, min_words: int = MIN_WORDS, min_unit: int = MIN_UNIT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """_doc (digest of key and text), n_units, n_repeated and spans (start, end) of every distinct document."""
+def every_unit(df: DataFrame, text: str, key: str) -> DataFrame:
+    """_key, _doc (hash of the text), pos, hi and lo (digest) of every unit."""
+    source = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_doc"), F.col(text).cast("string").alias("_text"))
+
+    def cut(batches):
+        for batch in batches:
+            found = [digests(t) for t in batch.column(2).to_pylist()]
+            counts = np.array([len(d) for d in found], dtype=np.int64)
+            total, which = int(counts.sum()), np.repeat(np.arange(len(found)), counts)
+            pos = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+            both = np.concatenate(found) if found else np.empty((0, 2), dtype="<i8")
+            columns = [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(pos.astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_doc", "pos", "hi", "lo"])
+
+    return source.mapInArrow(cut, f"_key {source.schema['_key'].dataType.simpleString()}, _doc long, pos int, hi long, lo long")
+
+
+def differs(batch: pa.RecordBatch, columns: list[int]) -> np.ndarray:
+    """For every row but the first, whether one of the columns differs from the row before; nulls are equal."""
+    out = np.zeros(batch.num_rows - 1, dtype=bool)
+    for n in columns:
+        a, b = batch.column(n).slice(1), batch.column(n).slice(0, batch.num_rows - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        out |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def flag(batches):
+    """Of rows in order: the repeats within this task (kind 0), its first row (kind 1) and its last (kind 2)."""
+    part, last, past = TaskContext.get().partitionId(), None, False
+    names = ["_key", "_doc", "pos", "hi", "lo", "kind", "part"]
+
+    def listed(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32())], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is None:
+            yield listed(batch.slice(0, 1), 1)
+            rows = batch
+        else:  # the row before stands first
+            rows = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        new = np.concatenate([[True], differs(rows, [3, 4])])
+        other = np.concatenate([[False], differs(rows, [0, 1, 2])]) & ~new
+        seen = np.cumsum(other) + past  # a unit of another place than the keeper's, in this run of a digest
+        runs_at = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        base = np.where(runs_at == 0, 0, seen[runs_at])
+        repeat = seen > base
+        past = bool(repeat[-1])
+        mask = repeat if last is None else repeat[1:]
+        if mask.any():
+            yield listed(batch.filter(pa.array(mask)), 0)
+        last = batch.slice(batch.num_rows - 1, 1)
+    if last is not None:
+        yield listed(last, 2)
+
+
+def repeated_units(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """_key, _doc and repeats (positions of the units that an earlier one equals) of every document that has some."""
     small_batches(df.sparkSession)
-    source = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    kind = source.schema["_key"].dataType
-
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
-            found = [units(t) if t else [] for t in texts]
-            docs = [document_digest(k, t) for k, t in zip(batch.column(0).to_pylist(), texts)]
-            rows = [(k, d, n, u[0], u[1], u[2], u[3]) for k, d, us in zip(batch.column(0), docs, found) for n, u in enumerate(us)]
-            names = ["_key", "doc", "pos", "start", "stop", "words", "digest"]
-            kinds = [batch.schema.field(0).type, pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in c] if n == 0 else c, t) for n, (c, t) in enumerate(zip(columns, kinds))], names=names)
-
-        return work
-
-    every = source.mapInArrow(per_batch(make), f"_key {kind.simpleString()}, doc binary, pos int, start int, stop int, words int, digest binary")
-    every = materialise(every, "units")
-    rank = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), "doc", "pos")
-    groups = every.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos"))
-    flagged = every.select("doc", "pos", "digest").join(groups, "digest").where((F.col("doc") != F.col("keep_doc")) | (F.col("pos") != F.col("keep_pos"))).select("doc", "pos")
-    repeats = flagged.groupBy("doc").agg(F.collect_set("pos").alias("repeats"))
-    listed = every.join(repeats.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "stop", "words"))).alias("u"))
-    both = listed.join(repeats, "doc")
-
-    def spans_of():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for us, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                gone = set(gone)
-                out.append((len(us), len(gone), [{"start": a, "end": b} for a, b in runs([(u["start"], u["stop"], u["words"], u["pos"] in gone) for u in us], min_words, min_unit)]))
-            n, m, spans = zip(*out)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["_doc", "n_units", "n_repeated", "spans"])
-
-        return work
-
-    return both.select("doc", "u", "repeats").mapInArrow(per_batch(spans_of), "_doc binary, n_units long, n_repeated long, spans array<struct<start:int,end:int>>")
-
-
-def document_digest(key, text: str | None) -> bytes:
-    """Identifies a document by its key and text."""
-    return xxhash.xxh3_128_digest(f"{key}\x00{'' if text is None else text}".encode("utf-8", "surrogatepass")) + (b"\x00" if text is None else b"\x01")
+    every = materialise(every_unit(df, text, key), "units")
+    order = ["hi", "lo", F.col("_key").asc_nulls_last(), "_doc", "pos"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in every.schema)
+    flagged = materialise(every.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(flag, f"{kinds}, kind int, part int"), "flags")
+    # two rows a task, as for the bounds of a range sort
+    edges = sorted(flagged.where("kind > 0").select("part", "kind", "hi", "lo").collect())
+    again = [b["part"] for a, b in zip(edges, edges[1:]) if b["kind"] == 1 and (a["hi"], a["lo"]) == (b["hi"], b["lo"])]
+    gone = flagged.where((F.col("kind") == 0) | ((F.col("kind") == 1) & F.col("part").isin(again)) if again else F.col("kind") == 0)
+    return gone.groupBy("_key", "_doc").agg(F.collect_set("pos").alias("repeats"))
 
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, min_unit: int = MIN_UNIT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All rows and columns of df, the text without repeats, and `_spans` (array of start and end) that were removed."""
-    small_batches(df.sparkSession)
     names = df.columns
-    gone = materialise(repeated_spans(df, min_words, min_unit, text, key), "spans")
-
-    def mark(batches):
-        for batch in batches:
-            keys, texts = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            docs = pa.array([document_digest(k, t) for k, t in zip(keys, texts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in range(len(names))], docs], names=[*names, "_doc"])
+    at, spans_type = names.index(text), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    gone = materialise(repeated_units(df, text, key), "repeats")
 
     def cut(batches):
         for batch in batches:
-            texts, spans = batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()
-            spans = [[(s["start"], s["end"]) for s in x or []] for x in spans]
-            kept = pa.array([without(t, s) if t and s else t for t, s in zip(texts, spans)], batch.schema.field(names.index(text)).type)
-            listed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*[kept if c == text else batch.column(n) for n, c in enumerate(names)], listed], names=[*names, "_spans"])
+            texts, spans = batch.column(at).to_pylist(), []
+            for t, repeats in zip(texts, batch.column(len(names)).to_pylist()):
+                repeats = set(repeats or ())
+                spans.append(runs([(a, b, len(w), n in repeats) for n, (a, b, w) in enumerate(units(t))], min_words, min_unit) if t and repeats else [])
+            kept = pa.array([without(t, s) if s else t for t, s in zip(texts, spans)], batch.schema.field(at).type)
+            listed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type)
+            yield pa.RecordBatch.from_arrays([*[kept if n == at else batch.column(n) for n in range(len(names))], listed], names=[*names, "_spans"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    marked = df.select(*[F.col(f"`{c}`") for c in names], F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).mapInArrow(mark, f"{kinds}, _doc binary")
-    joined = marked.join(gone.select(F.col("_doc").alias("_d"), "spans"), F.col("_doc") == F.col("_d"), "left").select(*[F.col(f"`{c}`") for c in names], "spans")
-    return joined.mapInArrow(cut, f"{kinds}, _spans array<struct<start:int,end:int>>")
+    other = gone.select(F.struct("_key", "_doc").alias("_gone"), "repeats")
+    same = df[f"`{key}`"].eqNullSafe(other["_gone"]["_key"]) & (F.xxhash64(df[f"`{text}`"].cast("string")) == other["_gone"]["_doc"])
+    free = "_repeats" + "_" * max(map(len, names))  # longer than every name of df
+    return df.join(other, same, "left").select(*[df[f"`{c}`"] for c in names], other["repeats"].alias(free)).mapInArrow(cut, f"{kinds}, _spans array<struct<start:int,end:int>>")

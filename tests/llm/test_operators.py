@@ -414,3 +414,40 @@ def test_digests_of_queries(spark, sf_dir, docs):
         ids = own.encode(r["text"], add_special_tokens=False).ids
         assert got[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def brute_line_dedup(rows):
+    first = {}
+    ranked = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    for k, t in ranked:
+        for n, (_, _, words) in enumerate(lines.units(t or "")):
+            first.setdefault(" ".join(words).lower(), (k, t, n))
+    out = {}
+    for k, t in ranked:
+        found = [(a, b, len(w), first[" ".join(w).lower()] != (k, t, n)) for n, (a, b, w) in enumerate(lines.units(t or ""))]
+        spans = lines.runs(found, lines.MIN_WORDS, lines.MIN_UNIT)
+        out[k, t] = lines.without(t, spans) if spans else t
+    return Counter((k, out[k, t]) for k, t in rows)
+
+
+@pytest.mark.parametrize("batch", [3, 512])
+def test_line_dedup_against_brute_force(spark, monkeypatch, batch):
+    """A line in all documents, passages in some, copies, equal rows and null keys over many tasks and small batches."""
+    monkeypatch.setattr(lines, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)))
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    line = lambda n: " ".join(word() for _ in range(n))
+    pool = [line(draw.randrange(1, 30)) for _ in range(25)]
+    hot = line(12)
+    rows = [(i, "\n".join([line(6), hot, *draw.sample(pool, 3), hot][: draw.randrange(1, 7)])) for i in range(120)]
+    rows += [(1000 + i, rows[7][1]) for i in range(60)] + [rows[3]] * 9 + [rows[5]] * 2 + [(7, hot), (None, f"{hot}\n{pool[0]}"), (500, None), (501, "")]
+    for shuffle in ("1", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS repeats", "2 AS _gone")
+            assert Counter((r["doc_id"], r["text"]) for r in lines.dedup_lines(df).collect()) == brute_line_dedup(rows)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
