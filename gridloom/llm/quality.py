@@ -5,9 +5,8 @@ the distinct documents that hold it are counted over the whole corpus. Lines in
 a host are removed from its documents, and documents of which less than `least_left` of their words remain are
 rejected as depleted, besides those that fail the base rules.
 
-Documents are distinct up to copies: for a line, a document counts by the smallest hash of its other lines, so a group
-of exact or nearly exact copies counts about once, however large, and is left for deduplication, while a line that
-stands among different lines in many documents (a licence, a menu) reaches the limit.
+Documents are distinct up to true copies: a document counts by the hash of all its normalised lines in order, so a
+group of copies counts once, however large, and is left for deduplication. Documents that differ in any line count each.
 
 Defined results: null text has no word and fails the base rules; a null source is a host of its own; equal rows are one
 document; an empty table gives an empty result; other columns are ignored by line_statistics and kept by clean_lines.
@@ -66,39 +65,41 @@ def base_rules(raw: bytes) -> tuple[int, int, int, int, int]:
 
 
 def measured(df: DataFrame, text: str, key: str, host: str) -> DataFrame:
-    """The base figures of every row, and its distinct lines: hash, words, and the smallest hash of the other lines."""
+    """The base figures of every row, the hash of its normalised text, and its distinct lines: hash and words."""
     small_batches(df.sparkSession)
     source = df.select(F.col(key).alias("doc_id"), F.col(host).cast("string").alias("_host"), F.col(text).cast("string").alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def make():
-        lines_type = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("s", pa.int64())]))
+        lines_type = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            figures, lines = [], []
+            figures, lines, copies = [], [], []
             for raw in binary_lists(batch, "_text"):
                 raw = raw or b""
                 figures.append(base_rules(raw))
                 count: dict[int, int] = {}
+                whole = xxhash.xxh64()
                 for line in raw.split(b"\n"):
                     if n := len(line.split()):
                         h = line_key(line)
                         count[h] = count.get(h, 0) + n
-                low = sorted(count)[:2] + [0, 0]
-                lines.append([{"h": h, "w": n, "s": (low[1] if len(count) > 1 else 0) if h == low[0] else low[0]} for h, n in count.items()])
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in zip(*figures)], pa.array(lines, lines_type)], names=names)
+                        whole.update(h.to_bytes(8, "little", signed=True))
+                lines.append([{"h": h, "w": n} for h, n in count.items()])
+                copies.append(whole.intdigest() - (1 << 63))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in zip(*figures)], pa.array(copies, pa.int64()), pa.array(lines, lines_type)], names=names)
 
         return work
 
-    names = ["doc_id", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
-    longs = ", ".join(f"{c} long" for c in names[2:7])
-    return source.mapInArrow(per_batch(make), f"doc_id {kind}, _host string, {longs}, lines array<struct<h:long,w:int,s:long>>")
+    names = ["doc_id", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_copy", "lines"]
+    longs = ", ".join(f"{c} long" for c in names[2:8])
+    return source.mapInArrow(per_batch(make), f"doc_id {kind}, _host string, {longs}, lines array<struct<h:long,w:int>>")
 
 
 def frequent_lines(rows: DataFrame, max_documents: int) -> DataFrame:
     """_host and h of the lines in more than so many distinct documents of a host."""
-    each = rows.select("_host", F.explode("lines").alias("l")).select("_host", F.col("l.h").alias("h"), F.col("l.s").alias("s"))
-    distinct = each.groupBy("_host", "h", "s").agg(F.lit(1).alias("one"))
+    each = rows.select("_host", "_copy", F.explode("lines.h").alias("h"))
+    distinct = each.groupBy("_host", "h", "_copy").agg(F.lit(1).alias("one"))
     return distinct.groupBy("_host", "h").agg(F.sum("one").alias("n")).where(F.col("n") > max_documents).select("_host", "h", "n")
 
 
@@ -112,7 +113,7 @@ def line_statistics(df: DataFrame, max_documents: int = MAX_DOCUMENTS, least_lef
         other = F.broadcast(other)
     hit = each.join(other, F.col("_host").eqNullSafe(F.col("_fh")) & (F.col("h") == F.col("_h")))
     lost = hit.groupBy("_row").agg(F.sum("w").alias("lost"))
-    joined = rows.drop("lines").join(lost, "_row", "left").withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    joined = rows.drop("lines", "_copy").join(lost, "_row", "left").withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("n_left") >= least_left * F.col("n_words"))).alias("kept"), "n_left")
 

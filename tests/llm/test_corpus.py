@@ -169,6 +169,23 @@ def test_quality_lines(spark, monkeypatch, few):
     assert set(clean) == {i for i in kept if kept[i]} and menu not in clean[0] and menu in clean[300]
 
 
+def test_quality_blocks_of_lines(spark):
+    """A menu of many lines over short documents is frequent as a whole; copies of one document count once."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    menu = [line(3) for _ in range(30)]
+    rows = [(i, "\n".join([*menu, line(8)]), "a") for i in range(100)]
+    rows += [(200 + i, "\n".join([*menu, line(200)]), "a") for i in range(5)]
+    copy = "\n".join(line(30) for _ in range(3))
+    rows += [(300 + i, copy.upper() if i % 2 else copy, "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.line_statistics(df).collect()}
+    assert all(got[i]["n_left"] == 8 and not got[i]["kept"] for i in range(100))
+    assert all(got[200 + i]["n_left"] == 200 and got[200 + i]["kept"] for i in range(5))
+    assert all(got[300 + i]["n_left"] == 90 and got[300 + i]["kept"] for i in range(60))
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
