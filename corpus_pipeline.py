@@ -16,9 +16,10 @@ from gridloom.llm import lines, packing, quality, secrets, simhash
 from gridloom.llm.common import materialise, table
 from gridloom.llm.queries import WORD_BPE
 
-#: Near-duplicates: shingles of five words, two lanes of 64 bits; texts of similarity 0.8 differ in about 19 of the 128
-#: bits and unrelated ones in 64, so links within 24 bits take in the former and never meet the latter.
-SHINGLE, LANES, RADIUS, SIMILARITY = 5, 2, 24, 0.8
+#: Near-duplicates: sets of shingles of five words, linked at an exact Jaccard similarity of 0.8. Candidates are texts
+#: within 80 of 256 bits: sets of similarity 0.8 differ in about 39 bits (standard deviation 6; sets of 4 and 5 shingles
+#: in 48), unrelated ones in 128 (8).
+SHINGLE, LANES, RADIUS, SIMILARITY = 5, 4, 80, 0.8
 
 
 def sized(docs: DataFrame) -> DataFrame:

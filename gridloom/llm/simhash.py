@@ -10,8 +10,11 @@ Within a pair of tiles the links found are thinned to a spanning forest before t
 components and never emits all pairs of a group. Components come from alternating star contractions over written
 tables. Exact copies share one fingerprint and meet only as its members.
 
-With `similarity`, tiles are dealt by shingle counts instead and compared only where the smaller count is at least that
-share of the larger, as sets of shingles that differ more cannot be so similar.
+With `similarity`, a text counts by its set of distinct shingles, and fingerprints only find candidates: tiles are dealt
+by the sizes of the sets and compared where the smaller is at least that share of the larger, as sets that differ more
+cannot be so similar. Within the components of the candidates a link is kept only where the exact Jaccard similarity of
+the two sets reaches `similarity`; components larger than a tile of sets are compared tile by tile. The radius must be
+wide enough that pairs of that similarity stay within it.
 
 Defined results: null text has no word; a text without words has fingerprint zero and is linked like any other; a text
 with fewer words than a shingle is one shingle; repeated rows share fingerprint and component; a null doc_id never is
@@ -36,27 +39,50 @@ SEED = 42
 TILE = 2048
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Sets, and shingles in all of them, of a tile whose pairs are compared exactly.
+SET_TILE, SET_TILE_SHINGLES = 1024, 1 << 20
 
 
-def fingerprint(raw: bytes, shingle: int, lanes: int = 1) -> tuple[tuple[int, ...], int]:
-    """The lanes of the fingerprint, as unsigned integers, and the number of shingles."""
+def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """The hash of every word shingle of a text, in order and with repeats."""
     words = raw.lower().split()  # both work on ASCII letters and ASCII white space only
     if not words:
-        return (0,) * lanes, 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     stops = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - shingle + 1)
     starts = [0, *stops[: n - 1].tolist()]
     ends = (stops[min(shingle, len(words)) - 1 :] - 1).tolist()
     xxh, view = xxhash.xxh64_intdigest, memoryview(joined)
+    return np.fromiter((xxh(view[a:b], SEED) for a, b in zip(starts, ends)), dtype="<u8", count=n)
+
+
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes of another lane; those of the first are the hashes themselves."""
+    if lane == 0:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def lanes_of(hashes: np.ndarray, lanes: int) -> tuple[int, ...]:
+    """The lanes of the fingerprint of these hashes, as unsigned integers."""
+    if not len(hashes):
+        return (0,) * lanes
     out = []
     for lane in range(lanes):
         votes = np.zeros(64, dtype=np.int64)
-        for at in range(0, n, BLOCK):
-            hashes = np.array([xxh(view[a:b], SEED + lane) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], dtype="<u8")
-            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0]))
-    return tuple(out), n
+        for at in range(0, len(hashes), BLOCK):
+            part = np.ascontiguousarray(mixed(hashes[at : at + BLOCK], lane))
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+    return tuple(out)
+
+
+def lane_names(lanes: tuple[int, ...]) -> str:
+    return "".join(f"{x:016x}" for x in lanes)
 
 
 def fingerprints(df: DataFrame, shingle: int = 3, lanes: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -67,14 +93,32 @@ def fingerprints(df: DataFrame, shingle: int = 3, lanes: int = 1, text: str = "t
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [fingerprint(t or b"", shingle, lanes) for t in binary_lists(batch, "_text")]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(f"{x:016x}" for x in f) for f, _ in found]), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "node", "size"])
+            found = [shingle_hashes(t or b"", shingle) for t in binary_lists(batch, "_text")]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([lane_names(lanes_of(h, lanes)) for h in found], pa.string()), pa.array([len(h) for h in found], pa.int64())], names=["doc_id", "node", "size"])
 
         return work
 
     return source.mapInArrow(per_batch(make), f"doc_id {kind}, node string, size long")
 
 
+def set_fingerprints(df: DataFrame, shingle: int, lanes: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, doc (hash of the text), and of the set of its distinct shingles node (fingerprint), own (digest) and size."""
+    small_batches(df.sparkSession)
+    source = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("doc"), F.col(text).cast("string").alias("_text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(shingle_hashes(t or b"", shingle)) for t in binary_lists(batch, "_text")]
+            nodes = pa.array([lane_names(lanes_of(h, lanes)) for h in found], pa.string())
+            owns = pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) for h in found], pa.string())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, owns, pa.array([len(h) for h in found], pa.int64())], names=["doc_id", "doc", "node", "own", "size"])
+
+        return work
+
+    return source.mapInArrow(per_batch(make), f"doc_id {kind}, doc long, node string, own string, size long")
+
+
 def count_cells(words: int, radius: int) -> tuple[Callable, Callable]:
     """Cells by the population counts of `words` words of a 64-bit lane, and the cells within reach, each pair once."""
     base = 64 // words + 1
@@ -141,7 +185,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, size_a: np.ndarray | None
         near = distance <= radius
         if size_a is not None and near.any():
             x, y = size_a[at : at + step, None], size_b[None, :]
-            near &= np.minimum(x, y) >= similarity * np.maximum(x, y)
+            near &= np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
         rows, columns = np.nonzero(near)
         if len(rows):
             rows = rows + at
@@ -235,15 +279,94 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def similar_pairs(sets: list[np.ndarray], tiles: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets of Jaccard similarity `similarity` or more that connect the same components as all of these.
+
+    Where the sets are of two tiles, only pairs across them are compared; each set has distinct values.
+    """
+    n, sizes, tile = len(sets), np.array([len(x) for x in sets]), np.array(tiles)
+    across = len(set(tiles)) > 1
+    _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(numbers, np.cumsum(sizes)[:-1])
+    held, label, place, out = np.zeros(len(numbers), dtype=bool), np.arange(n), np.arange(n), []
+    for i in range(n):
+        fits = (place > i) & (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9) & (sizes > 0)
+        if across:
+            fits &= tile != tile[i]
+        others = np.nonzero(fits)[0]
+        if not len(others):
+            continue
+        held[parts[i]] = True
+        common = np.add.reduceat(held[np.concatenate([parts[j] for j in others])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        held[parts[i]] = False
+        for j in others[common >= similarity * (sizes[others] + sizes[i] - common) - 1e-9].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def exact_links(df: DataFrame, distinct: DataFrame, shingle: int, similarity: float, text: str, key: str) -> DataFrame:
+    """Links (a, b) between sets (own) of one candidate component (root) that are similar enough, thinned to forests.
+
+    distinct: own, root, size and least (is null, doc_id, doc: one document that holds the set).
+    """
+    counts = distinct.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_total")).where("_n > 1")
+    subs = F.ceil(F.greatest(F.col("_n") / SET_TILE, F.col("_total") / SET_TILE_SHINGLES)).cast("int")
+    asked = distinct.join(counts.select("root", subs.alias("subs")), "root").select("own", "root", "subs", F.col("least.doc_id").alias("_id"), F.col("least.doc").alias("_doc"))
+    texts = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.col(text).cast("string").alias("_text"))
+    found = asked.join(texts, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_doc"))).select("own", "root", "subs", "_text")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in binary_lists(batch, "_text")]
+            return pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(sets, pa.binary())], names=["own", "root", "subs", "set"])
+
+        return work
+
+    sets = materialise(found.mapInArrow(per_batch(make), "own string, root string, subs int, set binary"), "sets")
+    tile = F.pmod(F.xxhash64("own"), F.col("subs")).cast("int")
+    dealt = sets.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    dealt = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("subs", "other")
+
+    def links(group: pa.Table) -> pa.Table:
+        # a document that repeats gives its set several times
+        held = {own: (np.frombuffer(raw, dtype="<u8"), n) for own, raw, n in zip(group["own"].to_pylist(), group["set"].to_pylist(), group["tile"].to_pylist())}
+        names = sorted(held)
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        whole = low == high or len({held[x][1] for x in names}) > 1  # else one of the tiles has no set
+        pairs = similar_pairs([held[x][0] for x in names], [held[x][1] for x in names], similarity) if whole and len(names) > 1 else []
+        return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.string()), "b": pa.array([names[j] for _, j in pairs], pa.string())})
+
+    return dealt.groupBy("root", "low", "high").applyInArrow(links, "a string, b string")
+
+
+def similar_groups(df: DataFrame, shingle: int, radius: int, lanes: int, similarity: float, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, doc, node, own, size), and every own with its component (root) and its smallest row.
+
+    least: no_id, doc_id and doc (hash of the text) of the smallest row, null doc_ids last.
+    """
+    prints = materialise(set_fingerprints(df, shingle, lanes, text, key), "prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc")).alias("least")
+    distinct = materialise(prints.groupBy("own", "node", "size").agg(least), "distinct")
+    near = components(linked(distinct.select("node", "size").distinct(), lanes, radius, similarity=similarity))
+    candidates = distinct.join(near, "node", "left").select("own", F.coalesce("root", "node").alias("root"), "size", "least")
+    candidates = materialise(candidates, "candidates")
+    exact = components(exact_links(df, candidates, shingle, similarity, text, key)).withColumnRenamed("node", "own")
+    return prints, candidates.drop("root").join(exact, "own", "left").select("own", F.coalesce("root", "own").alias("root"), "least")
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, lanes: int = 1, words: int = 4, similarity: float = 0.0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint and component_id (the smallest doc_id reachable over links) of every row."""
+    if similarity:
+        prints, labelled = similar_groups(df, shingle, radius, lanes, similarity, text, key)
+        smallest = labelled.groupBy("root").agg(F.min("least").getField("doc_id").alias("component_id"))
+        final = labelled.join(smallest, "root").select("own", "component_id")
+        return prints.join(final, "own").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
     prints = materialise(fingerprints(df, shingle, lanes, text, key), "prints")
-    full = F.concat("node", F.lit(":"), F.col("size").cast("string")) if similarity else F.col("node")
-    prints = prints.withColumn("own", full)
-    distinct = materialise(prints.groupBy("own", "node", "size" if similarity else F.lit(0).cast("long").alias("size")).agg(F.min("doc_id").alias("least")), "distinct")
-    links = linked(distinct, lanes, radius, words, similarity)  # a fingerprint is there once for each of its sizes
-    roots = components(links)
+    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least")).withColumn("size", F.lit(0).cast("long")), "distinct")
+    roots = components(linked(distinct, lanes, radius, words))
     labelled = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = labelled.join(smallest, "root").select("own", "component_id")
-    return prints.join(final, "own").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
+    final = labelled.join(smallest, "root").select("node", "component_id")
+    return prints.join(final, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")

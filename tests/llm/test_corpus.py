@@ -417,6 +417,42 @@ def test_pipeline_near_copies(spark, sf_dir):
     assert kept == set(range(30))
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_similar(texts, similarity=0.8):
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_pipeline_similarity_is_exact(spark, sf_dir, monkeypatch, tile):
+    """Pairs just above 0.8 are linked, pairs below never, and large components of candidates are compared whole."""
+    monkeypatch.setattr(simhash, "SET_TILE", tile)
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
+    texts = []
+    for k in [31] * 30 + [50] * 15 + [70] * 15:
+        own = [word() for _ in range(300)]
+        texts += [" ".join(own), " ".join(own[: 300 - k] + [word() for _ in range(k)])]
+    chain = [word() for _ in range(200)]
+    for n in range(12):  # each like the next, the ends unlike; and some of the same template below 0.8
+        texts.append(" ".join(chain))
+        texts.append(" ".join(chain[:130] + [word() for _ in range(70)]))
+        chain = chain[15:] + [word() for _ in range(15)]
+    order = list(range(len(texts)))
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()}
+    assert kept == set(brute_similar(texts))
+
+
 def test_digests_of_queries(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, sf_dir).collect()}
     for r in docs.collect():
