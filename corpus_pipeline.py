@@ -33,17 +33,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id; of equal rows, one."""
+    """One row of each near-duplicate group: the one with the smallest doc_id and text hash, null doc_ids last.
+
+    Rows with one doc_id but different texts are different documents; of rows equal in both, one.
+    """
     names = docs.columns
-    found = materialise(simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, RADIUS, LANES, similarity=SIMILARITY), "groups")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
-    first = materialise(first, "first")
+    free = "_kept" + "_" * max(map(len, names))  # longer than every name of docs
+    prints, labelled = simhash.similar_groups(docs.select("doc_id", "text"), SHINGLE, RADIUS, LANES, SIMILARITY)
+    least = labelled.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.doc")
+    rows = prints.groupBy("doc_id", "doc").agg(F.count("*").alias("rows"))
+    first = least.join(rows, least["doc_id"].eqNullSafe(rows["doc_id"]) & (least["doc"] == rows["doc"]))
+    first = materialise(first.select(F.struct(least["doc_id"], least["doc"], "rows").alias(free)), "first")
     # a shuffle join at every size: what stays grows with the documents
-    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")))
-    if first.where("_rows > 1").limit(1).count():  # a doc_id that repeats leaves one row
-        order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in names if c != "doc_id" and _sortable(docs, c)])
-        several = kept.where("_rows > 1").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-        kept = kept.where("_rows = 1").unionByName(several)
+    same = docs["doc_id"].eqNullSafe(F.col(free)["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == F.col(free)["doc"])
+    kept = docs.join(first.hint("merge"), same)
+    if first.where(F.col(free)["rows"] > 1).limit(1).count():  # equal rows leave one
+        order = Window.partitionBy("doc_id", F.col(free)["doc"]).orderBy(*[F.col(f"`{c}`") for c in names if c != "doc_id" and _sortable(docs, c)])
+        several = kept.where(F.col(free)["rows"] > 1).withColumn(f"{free}n", F.row_number().over(order)).where(F.col(f"{free}n") == 1).drop(f"{free}n")
+        kept = kept.where(F.col(free)["rows"] == 1).unionByName(several)
     return kept.select(*[F.col(f"`{c}`") for c in names])
 
 

@@ -453,6 +453,23 @@ def test_pipeline_similarity_is_exact(spark, sf_dir, monkeypatch, tile):
     assert kept == set(brute_similar(texts))
 
 
+def test_pipeline_keeps_a_row_of_each_group(spark, sf_dir):
+    """Null and repeated doc_ids with different texts are different documents; equal rows and near copies leave one."""
+    draw = random.Random(22)
+    word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
+    body = [[word() for _ in range(100)] for _ in range(20)]
+    text = [" ".join(b) for b in body]
+    edited = " ".join(body[0][:95] + [word() for _ in range(5)])
+    rows = [(None, text[i], "h") for i in range(6)] + [(7, text[i], "h") for i in range(6, 12)]
+    rows += [(9, text[12], "b"), (9, text[12], "a"), (9, text[12], "c"), (None, text[13], "h"), (None, text[13], "h")]
+    rows += [(11, edited, "h"), (12, text[6], "h"), (None, text[7], "h"), (13, None, "h"), (14, "", "h"), (15, text[14], "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect())
+    want = [(None, text[i], "h") for i in range(1, 6)] + [(7, text[i], "h") for i in range(6, 12)]
+    want += [(9, text[12], "a"), (None, text[13], "h"), (11, edited, "h"), (13, None, "h"), (15, text[14], "h")]
+    assert got == Counter(want)
+
+
 def test_digests_of_queries(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, sf_dir).collect()}
     for r in docs.collect():
