@@ -470,6 +470,17 @@ def test_pipeline_keeps_a_row_of_each_group(spark, sf_dir):
     assert got == Counter(want)
 
 
+def test_pipeline_repeated_passage(spark, sf_dir):
+    """A copy that repeats passages has nearly the same shingle set, however much longer it is."""
+    draw = random.Random(23)
+    word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
+    body = [[word() for _ in range(300)] for _ in range(20)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(body)]
+    rows += [(100 + i, " ".join(b + b[100:100 + 90 + 4 * i])) for i, b in enumerate(body)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()} == set(range(20))
+
+
 def test_digests_of_queries(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in queries.op1_secret_scan(spark, sf_dir).collect()}
     for r in docs.collect():
