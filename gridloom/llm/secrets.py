@@ -1,12 +1,14 @@
 """Secret scans: base patterns, and dictionary-primed compression novelty.
 
-Base kinds are found by pattern. The method adds spans of kind `novel`: candidate strings next to a sensitive word are
-compressed after their surrounding text by zstandard primed with a dictionary of code words and identifiers; the bytes
-a candidate adds to the compressed context are its novelty. Identifiers, paths and prose cost few bytes; keys and
-passwords cost nearly all of theirs. Candidates that add at least `least` bytes a character are reported.
-
-Defined results: null text is empty and has no span; overlapping spans of different kinds are all reported, a novel
-span only where no base span overlaps it; repeated rows give repeated rows; an empty table gives an empty result; other
+Base kinds are found by pattern. The method adds spans of kind `novel`: candidate strings of any length with a sensitive
+word near on either side are compressed after the text before them by zstandard primed with a dictionary of code words
+and identifiers; the bytes a candidate adds to the compressed context are its novelty. Identifiers, paths and prose cost
+few bytes; keys and passwords cost nearly all of theirs. Candidates that add at least `least` bytes a character are
+reported; long ones are measured in consecutive blocks, and neighbouring blocks reported as one span. Candidates with
+only white space and punctuation between them (the lines of a key) share their sensitive words.
+
+Defined results: null text is empty and has no span; overlapping spans of different kinds are all reported, novel
+spans are of what base spans leave of a candidate; repeated rows give repeated rows; an empty table gives an empty result; other
 columns are ignored by scan and kept by redact.
 """
 
@@ -28,10 +30,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED = 6
 #: Candidates of the method, and the words that make their context sensitive.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=@-])")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+ADJOINING = re.compile(r"""[\s"'\\,;:.>#*|()]*""")
 SENSITIVE = re.compile(r"auth|bearer|credential|key|passw|passphrase|private|pwd|secret|signature|token", re.ASCII | re.IGNORECASE)
-#: Characters before a candidate in which a sensitive word counts, and those compressed as its context.
+#: Characters on either side of a candidate in which a sensitive word counts, and those before it compressed as context.
 NEAR, CONTEXT = 40, 256
+#: The shortest string that is measured, and the blocks in which long ones are.
+SHORTEST, MEASURED = 16, 512
 #: Compressed bytes that a candidate must add for each of its characters.
 LEAST = 0.6
 #: What primes the compressor: code words, and names that identifiers are made of.
@@ -67,15 +72,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = LEAST) -> list[tuple[int, int, int]]:
-    """Spans that the method adds: candidates near a sensitive word whose novelty is high."""
-    out = []
+def sensitive_candidates(text: str) -> list[tuple[int, int]]:
+    """Candidates with a sensitive word near them, or near one of those they adjoin."""
+    out: list[tuple[int, int]] = []
+    group: list[tuple[int, int]] = []
+    near = False
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in base) or not SENSITIVE.search(text, max(0, a - NEAR), a):
-            continue
-        if novelty.added(text[max(0, a - CONTEXT) : a], text[a:b]) >= least * (b - a):
-            out.append((a, 3, b))
+        if group and not (a - group[-1][1] <= NEAR and ADJOINING.fullmatch(text, group[-1][1], a)):
+            out += group if near else []
+            group, near = [], False
+        group.append((a, b))
+        near = near or bool(SENSITIVE.search(text, max(0, a - NEAR), a) or SENSITIVE.search(text, b, b + NEAR))
+    return out + (group if near else [])
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = LEAST) -> list[tuple[int, int, int]]:
+    """Spans that the method adds: candidates near a sensitive word whose novelty is high."""
+    out: list[tuple[int, int, int]] = []
+    for a, b in sensitive_candidates(text):
+        free, at = [], a
+        for s, _, e in base:
+            if s < b and at < e:
+                free.append((at, s))
+                at = e
+        for x, y in [*free, (at, b)]:
+            while y - x >= SHORTEST:
+                end = y if y - x < MEASURED + SHORTEST else x + MEASURED
+                if novelty.added(text[max(0, x - CONTEXT) : x], text[x:end]) >= least * (end - x):
+                    if out and out[-1][2] == x:
+                        out[-1] = (out[-1][0], 3, end)
+                    else:
+                        out.append((x, 3, end))
+                x = end
     return out
 
 
