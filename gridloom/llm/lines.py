@@ -1,11 +1,14 @@
 """Substring deduplication by hashing lines and their sentences.
 
-A text is cut into units: at line ends, after sentence ends that white space follows, and before a capitalised word
-inside a line (where inserted passages tend to begin). Units are normalised (letters and digits of any script,
-lower-cased, single spaces) and digested to 128 bits; digests are grouped over the whole corpus, and the occurrence with
-the smallest (doc_id, text hash, position) keeps the text. Every other occurrence is a repeat. Repeats are removed in
-runs of neighbouring repeated units: a run goes if it has at least `min_words` words, or one unit of `min_unit` words, so
-that short phrases which recur by chance stay. Removed spans keep their offsets in the original text.
+A text is cut into units: at line ends, after sentence ends of any script (where its words stand apart, if white space
+follows), and before a capitalised word inside a line (where inserted passages tend to begin). What is longer than
+`LONG_UNIT` words after that is cut where a hash of two neighbouring words says so, so that a passage without sentence
+ends is cut alike wherever it stands. Units are normalised (letters, marks and digits of any script, lower-cased, single
+spaces; each ideograph or kana is a word) and digested to 128 bits, as are whole lines of several units; digests are
+grouped over the whole corpus, and the occurrence with the smallest (doc_id, text hash, position) keeps the text. Every
+other occurrence is a repeat. Repeated whole lines are removed, however short. Repeated units inside lines are removed in
+runs of neighbours: a run goes if it has at least `min_words` words, or one unit of `min_unit` words, so that short
+phrases which recur by chance stay. Removed spans keep their offsets in the original text.
 
 The grouping is one range sort by digest and rank, so a digest however frequent spreads over as many tasks as its rows
 need; each task flags all but the first of a digest, and whether its own first row goes on from an earlier task is
@@ -30,39 +33,94 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialise, small_batches
 
 #: Boundaries between units: line ends, sentence ends, and a capitalised word after a word without a stop.
-BOUNDARY = regex.compile(r"\n|(?<=[.!?…])[ \t]+|[ \t]+(?=\p{Lu}\p{Ll})")
-WORDS = regex.compile(r"[\p{L}\p{N}]+")
+BOUNDARY = regex.compile(r"\n|(?<=[\p{STerm}…])[ \t]+|(?<=[。！？｡．])|[ \t]+(?=\p{Lu}\p{Ll})")
+WORDS = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
+#: Units of more words are cut by content, into parts of about so many.
+LONG_UNIT, PART = 40, 12
 #: A run of repeated units goes if it has so many words, or one unit of so many.
 MIN_WORDS, MIN_UNIT = 20, 8
 
 
-def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each unit of a text that has a word; offsets in code points."""
-    out, at = [], 0
+class Edge(int):
+    """The offset of a unit at an end of its line; a unit between two of them is a whole line."""
+
+
+def parts(text: str, start: int, stop: int) -> list[tuple[int, int, list[str]]]:
+    """A long unit in parts: cut between two words where their hash says so."""
+    out, at, words, end, last = [], start, [], start, ""
+    for m in WORDS.finditer(text, start, stop):
+        word = m.group()
+        if words and xxhash.xxh32_intdigest(f"{last} {word}".lower().encode()) % PART == 0:
+            out.append((at, end, words))
+            at, words = m.start(), []
+        words.append(word)
+        end, last = m.end(), word
+    return [*out, (at, stop, words)]
+
+
+def lines_of(text: str) -> list[tuple[int, int, list[tuple[int, int, list[str]]]]]:
+    """(start, end, units) of each line of a text that has a word; offsets in code points."""
+    out, at, start, found = [], 0, 0, []
     for m in [*BOUNDARY.finditer(text), None]:
         stop = m.start() if m else len(text)
         words = WORDS.findall(text, at, stop)
         if words:
-            out.append((at, stop, words))
+            found += [(at, stop, words)] if len(words) <= LONG_UNIT else parts(text, at, stop)
         at = m.end() if m else stop
+        if m is None or m.group() == "\n":
+            if len(found) == 1:
+                found = [(Edge(start), Edge(stop), found[0][2])]
+            if found:
+                out.append((start, stop, found))
+            start, found = at, []
     return out
 
 
+def units(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each unit of a text that has a word."""
+    return [unit for _, _, found in lines_of(text) for unit in found]
+
+
 def digests(text: str | None) -> np.ndarray:
-    """The digest of each unit, as two signed numbers a row."""
-    found = b"".join(xxhash.xxh3_128_digest(" ".join(words).lower().encode()) for _, _, words in units(text or ""))
+    """The digest of each unit, then of each line of several units, as two signed numbers a row."""
+    every = lines_of(text or "")
+    texts = [words for _, _, found in every for _, _, words in found]
+    texts += [[w for _, _, words in found for w in words] for _, _, found in every if len(found) > 1]
+    found = b"".join(xxhash.xxh3_128_digest(" ".join(words).lower().encode()) for words in texts)
     return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
 
 
+def flagged_units(text: str, repeats: set[int]) -> list[tuple[int, int, int, bool]]:
+    """(start, end, words, repeated) of each unit, by the positions of repeated digests; a repeated line is one unit."""
+    every, out, n = lines_of(text), [], 0
+    line = sum(len(found) for _, _, found in every)
+    for start, stop, found in every:
+        if len(found) > 1 and line in repeats:
+            out.append((Edge(start), Edge(stop), sum(len(words) for _, _, words in found), True))
+        else:
+            out += [(a, b, len(words), n + k in repeats) for k, (a, b, words) in enumerate(found)]
+        n, line = n + len(found), line + (len(found) > 1)
+    return out
+
+
 def runs(found: list[tuple[int, int, int, bool]], min_words: int, min_unit: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeated units that go; found: (start, end, words, repeated) in order."""
+    """Spans of the runs of repeated units that go, and of whole lines in other runs; found: (start, end, words, repeated) in order."""
     out, run = [], []
     for unit in [*found, (0, 0, 0, False)]:
         if unit[3]:
             run.append(unit)
         elif run:
             if sum(u[2] for u in run) >= min_words or max(u[2] for u in run) >= min_unit:
-                out.append((run[0][0], run[-1][1]))
+                out.append((int(run[0][0]), int(run[-1][1])))
+            else:
+                last = None
+                for a, b, _, _ in run:
+                    whole = isinstance(a, Edge) and isinstance(b, Edge)
+                    if whole and last is not None:
+                        out[-1] = (out[-1][0], int(b))
+                    elif whole:
+                        out.append((int(a), int(b)))
+                    last = b if whole else None
             run = []
     return out
 
@@ -164,7 +222,7 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, min_unit: int = MIN_U
             texts, spans = batch.column(at).to_pylist(), []
             for t, repeats in zip(texts, batch.column(len(names)).to_pylist()):
                 repeats = set(repeats or ())
-                spans.append(runs([(a, b, len(w), n in repeats) for n, (a, b, w) in enumerate(units(t))], min_words, min_unit) if t and repeats else [])
+                spans.append(runs(flagged_units(t, repeats), min_words, min_unit) if t and repeats else [])
             kept = pa.array([without(t, s) if s else t for t, s in zip(texts, spans)], batch.schema.field(at).type)
             listed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type)
             yield pa.RecordBatch.from_arrays([*[kept if n == at else batch.column(n) for n in range(len(names))], listed], names=[*names, "_spans"])

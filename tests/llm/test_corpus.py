@@ -552,3 +552,32 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, batch):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def test_line_dedup_short_lines_and_scripts(spark):
+    """Short repeated lines go; passages without capitals, or with the stops of other scripts, are found inside lines."""
+    draw = random.Random(41)
+    word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
+    words = lambda n: " ".join(word() for _ in range(n))
+    han = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(n))
+    rows = [(i, f"{words(9)}\nHome About\n{words(9)}\nok\n{words(9)}") for i in range(5)]
+    passage = words(90)
+    rows += [(10 + i, f"{words(60)} {passage} {words(60)}") for i in range(3)]
+    chinese = "".join(han(12) + "。" for _ in range(6))
+    rows += [(20 + i, f"{han(30)}。{chinese}{han(30)}") for i in range(3)]
+    hindi = " ".join(words(11) + "।" for _ in range(6))
+    rows += [(30 + i, f"{words(30)}। {hindi} {words(30)}") for i in range(3)]
+    rows += [(40, "की"), (41, "का")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = dict(rows)
+    for first in (0, 10, 20, 30):
+        assert got[first] == own[first]
+    for i in range(1, 5):
+        assert got[i] == "\n".join(x for x in own[i].split("\n") if x not in ("Home About", "ok"))
+    for i in (11, 12):
+        left = got[i].split()
+        assert left[:60] == own[i].split()[:60] and left[-60:] == own[i].split()[-60:] and len(left) < 120 + 50
+    for i in (21, 22, 31, 32):
+        assert (chinese if i < 30 else hindi) not in got[i] and own[i][:30] == got[i][:30] and own[i][-30:] == got[i][-30:]
+        assert len(got[i]) == len(own[i]) - len(chinese if i < 30 else hindi) - (i > 30)
+    assert got[40] == "की" and got[41] == "का"
