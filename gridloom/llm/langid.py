@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Memo, parts_of, per_batch, small_batches
@@ -28,7 +28,7 @@ from gridloom.llm.common import Memo, parts_of, per_batch, small_batches
 PER_LANGUAGE, MAX_WORDS = 600, 30_000
 ROUNDS, SMOOTHING, UNKNOWN = 3, 0.05, 1e-7
 #: Longest piece used, and longest part of a word scored at once.
-MAX_PIECE, MAX_WORD = 8, 40
+MAX_PIECE, MAX_WORD = 16, 40
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 MEMO_ENTRIES = 450_000
@@ -181,7 +181,8 @@ def sample_counts(labelled: DataFrame, per_language: int, max_words: int, key: s
 
     words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     out: dict[str, dict[str, int]] = {}
-    ranked = words.orderBy(F.desc("n"), "lang", "word").limit(max_words * len(totals))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    ranked = words.withColumn("rank", rank).where(F.col("rank") <= max_words)  # at most so many of each language
     for r in ranked.collect():
         out.setdefault(r["lang"], {})[r["word"]] = r["n"]
     for language in totals:

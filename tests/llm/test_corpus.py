@@ -581,3 +581,16 @@ def test_line_dedup_short_lines_and_scripts(spark):
         assert (chinese if i < 30 else hindi) not in got[i] and own[i][:30] == got[i][:30] and own[i][-30:] == got[i][-30:]
         assert len(got[i]) == len(own[i]) - len(chinese if i < 30 else hindi) - (i > 30)
     assert got[40] == "की" and got[41] == "का"
+
+
+def test_language_fit_is_whole(spark):
+    """Every letter piece is in the vocabulary, and a language with few documents keeps its words."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    every = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
+    assert {p for p in every if p.removeprefix(langid.START).isalpha()} <= set(langid.pieces(queries.PIECES))
+    rows = [(i, "one two three four " * 9, "en") for i in range(20)] + [(100, "eins zwei drei", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample_counts(df, 600, 2, "doc_id", "text", "lang")
+    assert {k: sorted(v) for k, v in got.items()} == {"en": ["▁four", "▁one"], "de": ["▁drei", "▁eins"]}
