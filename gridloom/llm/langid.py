@@ -6,9 +6,11 @@ Probabilities are fitted by expectation maximisation over the segmentations (for
 words of a bounded, documented sample of the labelled rows: about `per_language` documents of each language, by hash of
 the key. Characters outside the vocabulary have one small probability that is the same for every language.
 
-Defined results: null texts and texts without a letter get `und` and score 0, as does every text if nothing is
+Words are scored whole, however long; the fit cuts those of more than `MAX_WORD` letters into parts.
+
+Defined results: null texts and texts without a letter (digits and other numerals are none) get `und` and score 0, as does every text if nothing is
 labelled; ties go to the language that sorts first; rows with a null key are never learnt from and are not held out;
-repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+repeated rows give repeated rows, and are learnt from each; very long texts are scored whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,9 @@ from gridloom.llm.common import Memo, parts_of, per_batch, small_batches
 #: Documents of each language that the fit takes, about; most words of a language that it takes.
 PER_LANGUAGE, MAX_WORDS = 600, 30_000
 ROUNDS, SMOOTHING, UNKNOWN = 3, 0.05, 1e-7
-#: Longest piece used, and longest part of a word scored at once.
+#: Longest piece of the vocabulary; words of more letters than this are scored by a recursion that keeps its scale.
 MAX_PIECE, MAX_WORD = 16, 40
-LETTERS = re.compile(r"[^\W\d_]+")
+RUNS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 START = "▁"
 MEMO_ENTRIES = 450_000
 
@@ -46,16 +49,18 @@ def pieces(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased, each after the mark of a word's start; very long runs in parts."""
+    """Runs of letters, lower-cased, each whole and after the mark of a word's start."""
     out = []
-    for w in LETTERS.findall(text.lower()):
-        if len(w) < MAX_WORD:
-            out.append(START + w)
-        else:
-            out += [START * (at == 0) + w[at : at + MAX_WORD] for at in range(0, len(w), MAX_WORD)]
+    for w in RUNS.findall(text.lower()):
+        out += [START + w] if w.isalpha() else [START + x for x in LETTERS.findall(w)]
     return out
 
 
+def short_parts(word: str) -> list[str]:
+    """A word of the fit in parts of a bounded length."""
+    return [word] if len(word) <= MAX_WORD else [word[at : at + MAX_WORD] for at in range(0, len(word), MAX_WORD)]
+
+
 def lattice(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
     """Piece numbers (word, end, length): the piece of that length that ends there, 0 for none."""
     width = max(map(len, words))
@@ -84,6 +89,24 @@ def forward(grid: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_logs(words: list[str], vocabulary: dict[str, int], chance: np.ndarray) -> np.ndarray:
+    """Log probabilities (word, language) of words of any length: the forward sums of the last ends only, rescaled as they fall."""
+    get, out = vocabulary.get, np.zeros((len(words), chance.shape[1]))
+    recent, logs = [np.ones((len(words), chance.shape[1]))], np.zeros((len(words), 1))
+    sizes = np.array([len(w) for w in words])
+    for end in range(1, sizes.max() + 1):
+        total = UNKNOWN * recent[-1]
+        for size in range(1, min(end, MAX_PIECE) + 1):
+            total = total + recent[-size] * chance[[get(w[end - size : end], 0) if end <= len(w) else 0 for w in words]]
+        recent = [*recent[-MAX_PIECE + 1 :], total]
+        done = sizes == end
+        out[done] = np.log(np.maximum(total[done], 1e-300)) + logs[done]
+        if end % 8 == 0:
+            top = np.where(sizes > end, total.max(axis=1), 1.0)[:, None]
+            recent, logs = [r / top for r in recent], logs + np.log(top)
+    return out
+
+
 def expected(grid: np.ndarray, lengths: np.ndarray, weight: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Expected counts of each piece over the segmentations of weighted words, for one language (piece,)."""
     alpha = forward(grid, chance[:, None])[:, :, 0]
@@ -144,8 +167,12 @@ class Scorer:
     def totals(self, texts: list[str]) -> list[np.ndarray | None]:
         """For each text its log probability in every language; None without a letter."""
         split = [words_of(t) for t in texts]
-        known = self.learn([w for words in split for w in words])
-        return [np.array([known[w] for w in words]).sum(axis=0) if words else None for words in split]
+        known = self.learn([w for words in split for w in words if len(w) <= MAX_WORD])
+        long = sorted({w for words in split for w in words if len(w) > MAX_WORD}, key=len)
+        extra = {}
+        for at in range(0, len(long), 256):
+            extra |= dict(zip(long[at : at + 256], map(tuple, long_logs(long[at : at + 256], self.vocabulary, self.table).tolist())))
+        return [np.array([known[w] if len(w) <= MAX_WORD else extra[w] for w in words]).sum(axis=0) if words else None for words in split]
 
 
 #: The scorer of this worker process and the digest of its model; kept over tasks.
@@ -175,7 +202,7 @@ def sample_counts(labelled: DataFrame, per_language: int, max_words: int, key: s
         for batch in batches:
             total: dict[tuple[str, str], int] = {}
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in words_of(t or ""):
+                for w in (x for word in words_of(t or "") for x in short_parts(word)):
                     total[language, w] = total.get((language, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "word", "n"])
 
