@@ -1,15 +1,16 @@
 """Secret scans: base patterns, and dictionary-primed compression novelty.
 
 Base kinds are found by pattern. The method adds spans of kind `novel`: candidate strings of any length with a sensitive
-word near on either side are compressed after the text before them by zstandard primed with a dictionary of code words
-and identifiers; the bytes a candidate adds to the compressed context are its novelty. Identifiers, paths and prose cost
+word near on either side are compressed after the text around them by zstandard primed with a dictionary: code words, and
+the identifiers of the corpus, that is, the runs of letters that stand in most documents (runs of 3 to 16 letters, so that
+no key gets into it). The bytes a candidate adds to the compressed context are its novelty. Identifiers, paths and prose cost
 few bytes; keys and passwords cost nearly all of theirs. Candidates that add at least `least` bytes a character are
 reported; long ones are measured in consecutive blocks, and neighbouring blocks reported as one span. Candidates with
 only white space and punctuation between them (the lines of a key) share their sensitive words.
 
 Defined results: null text is empty and has no span; overlapping spans of different kinds are all reported, novel
 spans are of what base spans leave of a candidate; repeated rows give repeated rows; an empty table gives an empty result; other
-columns are ignored by scan and kept by redact.
+columns are ignored by scan and kept by redact, whatever their names; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ MIN_ASSIGNED = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ADJOINING = re.compile(r"""[\s"'\\,;:.>#*|()]*""")
 SENSITIVE = re.compile(r"auth|bearer|credential|key|passw|passphrase|private|pwd|secret|signature|token", re.ASCII | re.IGNORECASE)
-#: Characters on either side of a candidate in which a sensitive word counts, and those before it compressed as context.
+#: Characters on either side of a candidate in which a sensitive word counts, and those compressed as context.
 NEAR, CONTEXT = 40, 256
+#: Runs of letters that identifiers are made of, and how many of the most frequent prime the compressor.
+IDENTIFIER, IDENTIFIERS = "[A-Za-z][a-z]{2,15}", 4_000
 #: The shortest string that is measured, and the blocks in which long ones are.
 SHORTEST, MEASURED = 16, 512
 #: Compressed bytes that a candidate must add for each of its characters.
@@ -52,10 +55,11 @@ CODE_WORDS = (
 
 
 class Novelty:
-    """Marginal compressed bytes of strings after a context, under a primed compressor."""
+    """Marginal compressed bytes of strings in a context, under a compressor primed with code words and identifiers."""
 
-    def __init__(self, identifiers: str = CODE_WORDS, level: int = 3):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, identifiers: str = "", level: int = 3):
+        primed = zstandard.ZstdCompressionDict(f"{identifiers} {CODE_WORDS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=level)
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False)
 
     def added(self, context: str, candidate: str) -> int:
@@ -63,6 +67,14 @@ class Novelty:
         return len(self.compressor.compress(head + candidate.encode("utf-8", "replace"))) - len(self.compressor.compress(head))
 
 
+def corpus_identifiers(df: DataFrame, text: str = "text", most: int = IDENTIFIERS) -> str:
+    """The letter runs that stand in most documents, the most frequent last, where the compressor finds them cheapest."""
+    runs = F.array_distinct(F.regexp_extract_all(F.col(text).cast("string"), F.lit(IDENTIFIER), F.lit(0)))
+    counts = df.select(F.explode(runs).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    found = counts.orderBy(F.desc("n"), "run").limit(most).collect()  # at most so many
+    return " ".join(r["run"] for r in reversed(found))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds, sorted."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGNED]
@@ -99,7 +111,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
         for x, y in [*free, (at, b)]:
             while y - x >= SHORTEST:
                 end = y if y - x < MEASURED + SHORTEST else x + MEASURED
-                if novelty.added(text[max(0, x - CONTEXT) : x], text[x:end]) >= least * (end - x):
+                if novelty.added(f"{text[y : y + CONTEXT]}\n{text[max(0, x - CONTEXT) : x]}", text[x:end]) >= least * (end - x):
                     if out and out[-1][2] == x:
                         out[-1] = (out[-1][0], 3, end)
                     else:
@@ -115,8 +127,10 @@ def scan(df: DataFrame, least: float = LEAST, text: str = "text", keep: tuple[st
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    identifiers = corpus_identifiers(df, text)
+
     def make():
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
@@ -147,8 +161,10 @@ def redact(df: DataFrame, least: float = LEAST, text: str = "text", mark: str =
     names = df.columns
     at = names.index(text)
 
+    identifiers = corpus_identifiers(df, text)
+
     def make():
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
