@@ -17,7 +17,7 @@ the two sets reaches `similarity`; components larger than a tile of sets are com
 wide enough that pairs of that similarity stay within it.
 
 Defined results: null text has no word; a text without words has fingerprint zero and is linked like any other; a text
-with fewer words than a shingle is one shingle; repeated rows share fingerprint and component; a null doc_id never is
+with fewer words than a shingle is one shingle; very long texts are taken whole, their bits counted in blocks; repeated rows share fingerprint and component; a null doc_id never is
 the smallest of its component unless all are null; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import binary_lists, materialise, per_batch, small_batches
 
 SEED = 42
-#: Fingerprints in a tile, about.
-TILE = 2048
+#: Fingerprints in a tile, about; tiles of one cell that a key of the join of tiles holds, about.
+TILE, SPLIT = 2048, 16
+#: Keys over which the links of one node are spread where they meet its smallest neighbour.
+SALTS = 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 #: Sets, and shingles in all of them, of a tile whose pairs are compared exactly.
@@ -229,7 +231,11 @@ def linked(prints: DataFrame, lanes: int, radius: int, words: int = 4, similarit
             yield pa.RecordBatch.from_arrays([pa.array([x for c in cells for x in c], pa.int64()), *[batch.column(k).take(pa.array(owner)) for k in range(4)]], names=["at", "cell_a", "sub_a", "nodes_a", "sizes_a"])
 
     left = tiles.mapInArrow(near, "at long, cell_a long, sub_a int, nodes_a string, sizes_a array<long>")
-    pairs = left.join(tiles, (F.col("at") == F.col("cell")) & ((F.col("cell_a") < F.col("cell")) | (F.col("sub_a") <= F.col("sub"))))
+    # the tiles of a full cell are spread over several keys, and those they meet are sent to each
+    keys = subs.select(F.col("cell").alias("cell_k"), F.ceil(F.col("subs") / SPLIT).cast("int").alias("keys"))
+    left = left.join(keys, F.col("at") == F.col("cell_k")).withColumn("key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)))
+    right = tiles.join(keys, F.col("cell") == F.col("cell_k")).select("cell", "sub", "nodes", "sizes", F.pmod("sub", "keys").alias("key_b"))
+    pairs = left.join(right, (F.col("at") == F.col("cell")) & (F.col("key") == F.col("key_b")) & ((F.col("cell_a") < F.col("cell")) | (F.col("sub_a") <= F.col("sub"))))
 
     def links(batches):
         for batch in batches:
@@ -254,6 +260,13 @@ def linked(prints: DataFrame, lanes: int, radius: int, words: int = 4, similarit
     return pairs.select("nodes_a", "sizes_a", "nodes", "sizes").mapInArrow(links, "a string, b string").distinct()
 
 
+def with_least(rows: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    """rows with the column m of least joined by node; the rows of one node are spread by their other end."""
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    each = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(each, [node, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """node and root (the smallest node of its component) of every node of the links (a < b).
 
@@ -265,9 +278,9 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = with_least(both.where("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
+        small = with_least(large, low, "b", "a")
         star = small.select(F.col("m").alias("a"), "b").unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         edges = materialise(star, "stars")
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
