@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; long texts make larger batches a memory risk.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch; long texts make larger batches a memory risk.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for tables of long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keeps Arrow batches small enough for tables of long texts, in this session, as plans read it when they run."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +52,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(names: list[str], base: str) -> str:
+    """base, with underscores added until no column has that name."""
+    held = {n.lower() for n in names}
+    while base.lower() in held:
+        base += "_"
+    return base
+
+
 def binary_lists(batch: pa.RecordBatch, name: str) -> list:
     """A string column as UTF-8 bytes; nulls stay None."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -81,6 +91,17 @@ def parts_of(texts: list, size: int = 1 << 20) -> Iterator[list]:
         yield part
 
 
+def string_parts(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
+    """A string column (null: empty) in parts of about this many bytes."""
+    texts = pc.fill_null(texts, "")
+    held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + size, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 class Memo:
     """A bounded map in two generations: what is used stays, what is not goes, and memory has a fixed limit."""
 

@@ -9,7 +9,8 @@ Documents are distinct up to true copies: a document counts by the hash of all i
 group of copies counts once, however large, and is left for deduplication. Documents that differ in any line count each.
 
 Defined results: null text has no word and fails the base rules; a null source is a host of its own; equal rows are one
-document; an empty table gives an empty result; other columns are ignored by line_statistics and kept by clean_lines.
+document; very long texts are measured whole; an empty table gives an empty result; other columns are ignored by
+line_statistics and kept by clean_lines, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from gridloom.llm.common import binary_lists, materialise, per_batch, small_batches
+from gridloom.llm.common import binary_lists, free_name, materialise, per_batch, small_batches
 
 #: Lines in more distinct documents of a host than this are removed.
 MAX_DOCUMENTS = 20
@@ -123,12 +125,13 @@ def clean_lines(df: DataFrame, max_documents: int = MAX_DOCUMENTS, least_left: f
     spark = df.sparkSession
     names = df.columns
     frequent = materialise(frequent_lines(measured(df, text, key, host), max_documents), "frequent")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(host).cast("string").alias("_h"), F.col(text).cast("string").alias("_t"))
+    kinds = StructType([StructField(f.name, f.dataType) for f in df.schema])
+    host_name, text_name, row_name, gone_name = (free_name(names, n) for n in ("_host", "_text", "_row", "_gone"))
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(host).cast("string").alias(host_name), F.col(text).cast("string").alias(text_name))
 
     def keep(batches, removed):
         for batch in batches:
-            hosts, texts = batch.column(len(names)).to_pylist(), binary_lists(batch, "_t")
+            hosts, texts = batch.column(len(names)).to_pylist(), binary_lists(batch, text_name)
             out, mask = [], []
             for n, (h, raw) in enumerate(zip(hosts, texts)):
                 gone = removed(n, h, batch)
@@ -149,8 +152,10 @@ def clean_lines(df: DataFrame, max_documents: int = MAX_DOCUMENTS, least_left: f
         shipped = spark.sparkContext.broadcast(lines)
         return source.mapInArrow(lambda batches: keep(batches, lambda n, h, batch: shipped.value.get(h, ())), kinds)
     # too many to send: the removed lines of each row come by joins
-    rows = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    lines_of = measured(rows.select(F.col("_row").alias("_k"), F.col("_h"), F.col("_t")), "_t", "_k", "_h").select(F.col("doc_id").alias("_row"), "_host", F.explode("lines.h").alias("h"))
-    gone = lines_of.join(frequent.select(F.col("_host").alias("_fh"), F.col("h").alias("_fl")), F.col("_host").eqNullSafe(F.col("_fh")) & (F.col("h") == F.col("_fl"))).groupBy("_row").agg(F.collect_set("h").alias("_gone"))
-    joined = rows.join(gone, "_row", "left").select(*[F.col(f"`{c}`") for c in names], "_h", "_t", "_gone")
+    rows = materialise(source.withColumn(row_name, F.monotonically_increasing_id()), "documents")
+    own = rows.select(F.col(row_name).alias("row"), F.col(host_name).alias("host"), F.col(text_name).alias("text"))
+    lines_of = measured(own, "text", "row", "host").select(F.col("doc_id").alias("row"), "_host", F.explode("lines.h").alias("h"))
+    listed = frequent.select(F.col("_host").alias("frequent_host"), F.col("h").alias("frequent_line"))
+    gone = lines_of.join(listed, F.col("_host").eqNullSafe(F.col("frequent_host")) & (F.col("h") == F.col("frequent_line"))).groupBy("row").agg(F.collect_set("h").alias("gone"))
+    joined = rows.join(gone, rows[row_name] == gone["row"], "left").select(*[rows[f"`{c}`"] for c in names], rows[host_name], rows[text_name], gone["gone"].alias(gone_name))
     return joined.mapInArrow(lambda batches: keep(batches, lambda n, h, batch: set(batch.column(len(names) + 2)[n].as_py() or ())), kinds)
