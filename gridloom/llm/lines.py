@@ -1,26 +1,30 @@
-"""Substring deduplication by hashing lines and their sentences.
-
-A text is cut into units: at line ends, after sentence ends of any script (where its words stand apart, if white space
-follows), and before a capitalised word inside a line (where inserted passages tend to begin). What is longer than
-`LONG_UNIT` words after that is cut where a hash of two neighbouring words says so, so that a passage without sentence
-ends is cut alike wherever it stands. Units are normalised (letters, marks and digits of any script, lower-cased, single
-spaces; each ideograph or kana is a word) and digested to 128 bits, as are whole lines of several units; digests are
-grouped over the whole corpus, and the occurrence with the smallest (doc_id, text hash, position) keeps the text. Every
-other occurrence is a repeat. Repeated whole lines are removed, however short. Repeated units inside lines are removed in
-runs of neighbours: a run goes if it has at least `min_words` words, or one unit of `min_unit` words, so that short
-phrases which recur by chance stay. Removed spans keep their offsets in the original text.
+"""Substring deduplication by hashing lines.
+
+A text is cut into lines. Lines are normalised (letters, marks and digits of any script, lower-cased, single spaces;
+each ideograph or kana is a word) and digested to 128 bits; digests are grouped over the whole corpus, the occurrence
+with the smallest (doc_id, text hash, position) is kept, and every other one is removed, however short it is.
+
+Passages also repeat inside lines, so a line of several sentences gives its sentences as further units (ends in any
+script, where its words stand apart only before white space; sentences of more than `LONG_UNIT` words are cut where a
+hash of two neighbouring words says so, and so alike wherever they stand). A sentence is digested together with as many
+of those before it in its line as make `CONTEXT_WORDS` words, and without that many it is no unit. So a sentence goes
+only where it stands after the same words as in an earlier occurrence; short phrases that recur by chance stay.
 
 The grouping is one range sort by digest and rank, so a digest however frequent spreads over as many tasks as its rows
 need; each task flags all but the first of a digest, and whether its own first row goes on from an earlier task is
 settled from one row a task.
 
-Defined results: null text has no unit and stays null; units without letter or digit belong to the run around them;
-rows with a null doc_id rank last, by text hash; equal rows (same doc_id and text) are one document and are treated
-alike; an empty table gives an empty result; other columns are ignored.
+Defined results: null text has no unit and stays null; lines without letter or digit are no units and stay; texts are
+taken whole, and a very long line is one unit and its sentences others; rows with a null doc_id rank last, by text hash;
+equal rows (same doc_id and text) are one document and are treated alike; a text of which all lines go becomes empty; an
+empty table gives an empty result; other columns are kept, whatever their names. Removed spans are offsets in code
+points of the original text.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,24 +33,22 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from gridloom.llm.common import materialise, small_batches
+from gridloom.llm.common import free_name, materialise, small_batches
 
-#: Boundaries between units: line ends, sentence ends, and a capitalised word after a word without a stop.
-BOUNDARY = regex.compile(r"\n|(?<=[\p{STerm}…])[ \t]+|(?<=[。！？｡．])|[ \t]+(?=\p{Lu}\p{Ll})")
+#: Ends of lines, and of sentences.
+BOUNDARY = regex.compile(r"\n|(?<=[\p{STerm}…])[ \t]+|(?<=[。！？｡．])")
 WORDS = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
-#: Units of more words are cut by content, into parts of about so many.
+ASCII_WORDS = re.compile(r"[A-Za-z0-9]+")
+#: Sentences of more words are cut by content, into parts of about so many.
 LONG_UNIT, PART = 40, 12
-#: A run of repeated units goes if it has so many words, or one unit of so many.
-MIN_WORDS, MIN_UNIT = 20, 8
-
-
-class Edge(int):
-    """The offset of a unit at an end of its line; a unit between two of them is a whole line."""
+#: Words that a sentence is digested with, at least.
+CONTEXT_WORDS = 8
 
 
 def parts(text: str, start: int, stop: int) -> list[tuple[int, int, list[str]]]:
-    """A long unit in parts: cut between two words where their hash says so."""
+    """A long sentence in parts: cut between two words where their hash says so."""
     out, at, words, end, last = [], start, [], start, ""
     for m in WORDS.finditer(text, start, stop):
         word = m.group()
@@ -59,69 +61,62 @@ def parts(text: str, start: int, stop: int) -> list[tuple[int, int, list[str]]]:
 
 
 def lines_of(text: str) -> list[tuple[int, int, list[tuple[int, int, list[str]]]]]:
-    """(start, end, units) of each line of a text that has a word; offsets in code points."""
+    """(start, end, sentences) of each line that has a word, sentences as (start, end, words)."""
     out, at, start, found = [], 0, 0, []
+    words_in = ASCII_WORDS.findall if text.isascii() else WORDS.findall
     for m in [*BOUNDARY.finditer(text), None]:
         stop = m.start() if m else len(text)
-        words = WORDS.findall(text, at, stop)
-        if words:
+        if words := words_in(text, at, stop):
             found += [(at, stop, words)] if len(words) <= LONG_UNIT else parts(text, at, stop)
         at = m.end() if m else stop
         if m is None or m.group() == "\n":
-            if len(found) == 1:
-                found = [(Edge(start), Edge(stop), found[0][2])]
             if found:
                 out.append((start, stop, found))
             start, found = at, []
     return out
 
 
-def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each unit of a text that has a word."""
-    return [unit for _, _, found in lines_of(text) for unit in found]
+def contexts(sentences: list[tuple[int, int, list[str]]]) -> list[int]:
+    """For each sentence of a line the first one that it is digested with, -1 for none."""
+    out = []
+    for n in range(len(sentences)):
+        first, held = n, len(sentences[n][2])
+        while held < CONTEXT_WORDS and first:
+            first -= 1
+            held += len(sentences[first][2])
+        out.append(first if held >= CONTEXT_WORDS else -1)
+    return out
 
 
-def digests(text: str | None) -> np.ndarray:
-    """The digest of each unit, then of each line of several units, as two signed numbers a row."""
-    every = lines_of(text or "")
-    texts = [words for _, _, found in every for _, _, words in found]
-    texts += [[w for _, _, words in found for w in words] for _, _, found in every if len(found) > 1]
-    found = b"".join(xxhash.xxh3_128_digest(" ".join(words).lower().encode()) for words in texts)
-    return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
+def units(text: str) -> list[tuple[int, int, bool, str, int]]:
+    """(start, end, whether a whole line, normalised words, seed) of each unit in order, a line before its sentences."""
+    out = []
+    for start, stop, found in lines_of(text):
+        plain = [" ".join(words).lower() for _, _, words in found]
+        out.append((start, stop, True, " ".join(plain), 0))
+        if len(found) > 1:
+            # several sentences are told from one by the seed
+            out += [(a, b, False, " ".join(plain[first : n + 1]), int(first < n)) for n, ((a, b, _), first) in enumerate(zip(found, contexts(found))) if first >= 0]
+    return out
 
 
-def flagged_units(text: str, repeats: set[int]) -> list[tuple[int, int, int, bool]]:
-    """(start, end, words, repeated) of each unit, by the positions of repeated digests; a repeated line is one unit."""
-    every, out, n = lines_of(text), [], 0
-    line = sum(len(found) for _, _, found in every)
-    for start, stop, found in every:
-        if len(found) > 1 and line in repeats:
-            out.append((Edge(start), Edge(stop), sum(len(words) for _, _, words in found), True))
-        else:
-            out += [(a, b, len(words), n + k in repeats) for k, (a, b, words) in enumerate(found)]
-        n, line = n + len(found), line + (len(found) > 1)
-    return out
+def digests(text: str | None) -> np.ndarray:
+    """The digest of each unit, as two signed numbers a row."""
+    found = b"".join([xxhash.xxh3_128_digest(words.encode(), seed) for _, _, _, words, seed in units(text or "")])
+    return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
 
 
-def runs(found: list[tuple[int, int, int, bool]], min_words: int, min_unit: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeated units that go, and of whole lines in other runs; found: (start, end, words, repeated) in order."""
-    out, run = [], []
-    for unit in [*found, (0, 0, 0, False)]:
-        if unit[3]:
-            run.append(unit)
-        elif run:
-            if sum(u[2] for u in run) >= min_words or max(u[2] for u in run) >= min_unit:
-                out.append((int(run[0][0]), int(run[-1][1])))
+def removed_spans(text: str, repeats: set[int]) -> list[tuple[int, int]]:
+    """The spans of the units at these positions; a repeated line goes whole, sentences that adjoin as one span."""
+    out: list[tuple[int, int]] = []
+    gone = 0  # the end of the last repeated line
+    for n, (start, stop, line, _, _) in enumerate(units(text)):
+        if n in repeats and (line or start >= gone):
+            if not line and out and not text[out[-1][1] : start].strip(" \t") and out[-1][1] > gone:
+                out[-1] = (out[-1][0], stop)
             else:
-                last = None
-                for a, b, _, _ in run:
-                    whole = isinstance(a, Edge) and isinstance(b, Edge)
-                    if whole and last is not None:
-                        out[-1] = (out[-1][0], int(b))
-                    elif whole:
-                        out.append((int(a), int(b)))
-                    last = b if whole else None
-            run = []
+                out.append((start, stop))
+            gone = stop if line else gone
     return out
 
 
@@ -211,24 +206,30 @@ def repeated_units(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return gone.groupBy("_key", "_doc").agg(F.collect_set("pos").alias("repeats"))
 
 
-def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, min_unit: int = MIN_UNIT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All rows and columns of df, the text without repeats, and `_spans` (array of start and end) that were removed."""
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", spans: str | None = "_spans") -> DataFrame:
+    """All rows and columns of df, the text without repeats, and the spans (array of start and end) that were removed.
+
+    spans: the name of that column, with underscores added where df has it; None leaves it out.
+    """
     names = df.columns
     at, spans_type = names.index(text), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    added = [] if spans is None else [free_name(names, spans)]
     gone = materialise(repeated_units(df, text, key), "repeats")
 
     def cut(batches):
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), []
+            texts, found = batch.column(at).to_pylist(), []
             for t, repeats in zip(texts, batch.column(len(names)).to_pylist()):
-                repeats = set(repeats or ())
-                spans.append(runs(flagged_units(t, repeats), min_words, min_unit) if t and repeats else [])
-            kept = pa.array([without(t, s) if s else t for t, s in zip(texts, spans)], batch.schema.field(at).type)
-            listed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type)
-            yield pa.RecordBatch.from_arrays([*[kept if n == at else batch.column(n) for n in range(len(names))], listed], names=[*names, "_spans"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+                found.append(removed_spans(t, set(repeats)) if t and repeats else [])
+            kept = pa.array([without(t, s) if s else t for t, s in zip(texts, found)], batch.schema.field(at).type)
+            columns = [kept if n == at else batch.column(n) for n in range(len(names))]
+            if added:
+                columns.append(pa.array([[{"start": a, "end": b} for a, b in s] for s in found], spans_type))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+
+    listed = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    schema = StructType([*[StructField(f.name, f.dataType) for f in df.schema], *[StructField(n, listed) for n in added]])
     other = gone.select(F.struct("_key", "_doc").alias("_gone"), "repeats")
     same = df[f"`{key}`"].eqNullSafe(other["_gone"]["_key"]) & (F.xxhash64(df[f"`{text}`"].cast("string")) == other["_gone"]["_doc"])
-    free = "_repeats" + "_" * max(map(len, names))  # longer than every name of df
-    return df.join(other, same, "left").select(*[df[f"`{c}`"] for c in names], other["repeats"].alias(free)).mapInArrow(cut, f"{kinds}, _spans array<struct<start:int,end:int>>")
+    joined = df.join(other, same, "left").select(*[df[f"`{c}`"] for c in names], other["repeats"].alias(free_name(names, "_repeats")))
+    return joined.mapInArrow(cut, schema)

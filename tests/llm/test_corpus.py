@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on the smallest tables and on rows of every awkward kind."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -259,6 +260,22 @@ def test_forward_sums_all_segmentations():
         assert langid.forward(langid.lattice([w], vocabulary), chance)[0, len(w), 0] == pytest.approx(brute(w))
 
 
+def test_long_words():
+    """Words of any length are scored whole; numerals are no letters."""
+    vocabulary = langid.pieces(queries.PIECES)
+    draw = np.random.default_rng(5)
+    chance = draw.random((len(vocabulary) + 1, 3)) * 1e-3
+    chance[0] = 0.0
+    words = ["▁" + "".join(draw.choice(list("abcdeinrst"), n)) for n in (41, 60, 200, 200, 3000)]
+    got = langid.long_logs(words, vocabulary, chance)
+    for n, w in enumerate(words[:3]):
+        want = np.log(langid.forward(langid.lattice([w], vocabulary), chance * 8)[0, len(w)])  # larger chances do not underflow
+        scaled = langid.long_logs([w], vocabulary, chance * 8)[0]
+        assert np.allclose(scaled, want, rtol=1e-9) or not np.isfinite(want).all()
+    assert np.isfinite(got).all() and (got[:, 0] < 0).all() and np.allclose(got[2], langid.long_logs(words[2:3], vocabulary, chance)[0])
+    assert langid.words_of("² ½ ٣ Ⅷ") == [] and langid.words_of("a²b C") == ["▁a", "▁b", "▁c"]
+
+
 def brute_top(rows, k=5):
     x = {i: np.floor(256 * np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)}
     width = max(map(len, x.values()), default=0)
@@ -279,6 +296,12 @@ def test_top_k(spark, sf_dir):
     got = mtree.top_k(df, df.where("vec_id % 50 = 0"))
     assert rows_of(got, "query_id", "rank", "id", "score") == sorted(brute_top(rows), key=str)
     assert mtree.top_k(df.where("false"), df.where("false")).count() == 0
+    draw = random.Random(3)  # products beyond what a float64 holds exactly, in several subtrees
+    rows = [(i, [draw.uniform(-1, 1) * 2.0**21 for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: [math.floor(256 * c) for c in v] for i, v in rows}
+    want = [(q, n + 1, i, s) for q in range(0, 300, 50) for n, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(x[q], x[i])), i) for i in x if i != q), key=lambda e: (-e[0], e[1]))[:5])]
+    assert rows_of(mtree.top_k(df, df.where("vec_id % 50 = 0"), tree=40, block=2), "query_id", "rank", "id", "score") == sorted(want, key=str)
 
 
 def test_search_spares_distances():
@@ -359,7 +382,7 @@ def test_line_dedup(spark, docs, odd, empty):
     word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
     sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
     passage = " ".join(sentence(12) for _ in range(5))
-    rows = [(i, f"{sentence(15)} {sentence(9)[:-1]} {passage} {sentence(14)}\n{sentence(20)}") for i in (5, 2, 9)]
+    rows = [(i, f"{sentence(15)} {sentence(9)} {passage} {sentence(14)}\n{sentence(20)}") for i in (5, 2, 9)]
     rows += [(20, sentence(30)), (21, None), (22, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
@@ -372,6 +395,9 @@ def test_line_dedup(spark, docs, odd, empty):
     for df in (docs, odd):
         out = lines.dedup_lines(df)
         assert out.columns == [*df.columns, "_spans"] and out.count() == df.count()
+    clash = docs.selectExpr("*", "1 AS _SPANS", "2 AS _repeats", "3 AS _key", "4 AS _doc", "5 AS _gone", "6 AS hi", "7 AS lo", "8 AS pos")
+    out = lines.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "_spans_"] and out.count() == clash.count()
     assert lines.dedup_lines(empty).count() == 0
 
 
@@ -409,7 +435,9 @@ def test_warc_reader_validates():
 
 
 def test_pipeline(spark, odd, empty, docs, sf_dir):
-    for df in (docs, odd, empty):
+    taken = "_t _h _row _gone _k _keep _kept _rows rows _n _spans _repeats repeats _host _text _doc _key node own size root least lines kept".split()
+    clash = docs.selectExpr("*", *[f"{n} AS {name}" for n, name in enumerate(taken)])
+    for df in (docs, odd, empty, clash):
         now = df
         for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
             before, now = now, stage(spark, now, sf_dir)
@@ -518,17 +546,49 @@ def test_digests_of_queries(spark, sf_dir, docs):
 
 
 def brute_line_dedup(rows):
+    """The rule of the operator for ASCII texts whose sentences have at most 40 words, without its code."""
+
+    def listed(text):
+        out, at = [], 0
+        for line in text.split("\n"):
+            pieces = [(m.start(), m.end()) for m in re.finditer(r"(?:[^.?!]|[.?!](?![ ]))+[.?!]?", line)]
+            pieces = [(a + len(line[a:b]) - len(line[a:b].lstrip()), b, re.findall(r"[a-z0-9]+", line[a:b].lower())) for a, b in pieces]
+            pieces = [x for x in pieces if x[2]]
+            every = [w for x in pieces for w in x[2]]
+            if every:
+                out.append((at, at + len(line), "whole", tuple(every)))
+                for k, (a, b, words) in enumerate(pieces if len(pieces) > 1 else []):
+                    if len(words) >= 8:
+                        out.append((at + a, at + b, "part", tuple(words)))
+                        continue
+                    for first in range(k - 1, -1, -1):
+                        both = tuple(w for x in pieces[first : k + 1] for w in x[2])
+                        if len(both) >= 8:
+                            out.append((at + a, at + b, "part", ("several", *both)))
+                            break
+            at += len(line) + 1
+        return out
+
     first = {}
     ranked = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
     for k, t in ranked:
-        for n, (_, _, words) in enumerate(lines.units(t or "")):
-            first.setdefault(" ".join(words).lower(), (k, t, n))
+        for n, unit in enumerate(listed(t or "")):
+            first.setdefault(unit[3], (k, t, n))
     out = {}
     for k, t in ranked:
-        found = [(a, b, len(w), first[" ".join(w).lower()] != (k, t, n)) for n, (a, b, w) in enumerate(lines.units(t or ""))]
-        spans = lines.runs(found, lines.MIN_WORDS, lines.MIN_UNIT)
-        out[k, t] = lines.without(t, spans) if spans else t
-    return Counter((k, out[k, t]) for k, t in rows)
+        gone = [u for n, u in enumerate(listed(t or "")) if first[u[3]] != (k, t, n)]
+        whole = [u for u in gone if u[2] == "whole"]
+        gone = whole + [u for u in gone if u[2] == "part" and not any(w[0] <= u[0] and u[1] <= w[1] for w in whole)]
+        held = t
+        for a, b, kind, _ in sorted(gone, reverse=True):
+            if kind == "whole":
+                b += held[b : b + 1] == "\n"
+            else:  # adjoining sentences leave no blanks between them
+                if a and held[a - 1] in " \t" and held[b : b + 1] in (" ", "\t"):
+                    b += 1
+            held = held[:a] + held[b:]
+        out[k, t] = held
+    return Counter((k, out[k, t] if t is None or not t else " ".join(re.findall(r"[^ ]+|\n", out[k, t]))) for k, t in rows)
 
 
 @pytest.mark.parametrize("batch", [3, 512])
@@ -541,13 +601,16 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, batch):
     pool = [line(draw.randrange(1, 30)) for _ in range(25)]
     hot = line(12)
     rows = [(i, "\n".join([line(6), hot, *draw.sample(pool, 3), hot][: draw.randrange(1, 7)])) for i in range(120)]
+    short = [line(draw.randrange(1, 6)) + "." for _ in range(12)]
+    rows += [(200 + i, " ".join([line(draw.randrange(3, 12)) + ".", *draw.choice([short[:6], short[3:], short[::-1], short[2:5]]), line(4)])) for i in range(40)]
     rows += [(1000 + i, rows[7][1]) for i in range(60)] + [rows[3]] * 9 + [rows[5]] * 2 + [(7, hot), (None, f"{hot}\n{pool[0]}"), (500, None), (501, "")]
     for shuffle in ("1", "37"):
         spark.conf.set("spark.sql.shuffle.partitions", shuffle)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         try:
             df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS repeats", "2 AS _gone")
-            assert Counter((r["doc_id"], r["text"]) for r in lines.dedup_lines(df).collect()) == brute_line_dedup(rows)
+            got = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(df).collect()]
+            assert Counter((k, t and " ".join(re.findall(r"[^ ]+|\n", t))) for k, t in got) == brute_line_dedup(rows)
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -555,7 +618,8 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, batch):
 
 
 def test_line_dedup_short_lines_and_scripts(spark):
-    """Short repeated lines go; passages without capitals, or with the stops of other scripts, are found inside lines."""
+    """Short repeated lines go; passages without capitals, or with the stops of other scripts, are found inside lines;
+    short phrases that recur elsewhere by chance stay."""
     draw = random.Random(41)
     word = lambda: "".join(draw.choice("abcdefghijk") for _ in range(6))
     words = lambda n: " ".join(word() for _ in range(n))
@@ -568,6 +632,9 @@ def test_line_dedup_short_lines_and_scripts(spark):
     hindi = " ".join(words(11) + "।" for _ in range(6))
     rows += [(30 + i, f"{words(30)}। {hindi} {words(30)}") for i in range(3)]
     rows += [(40, "की"), (41, "का")]
+    phrases = [words(4) for _ in range(5)]
+    rows += [(50 + i, f"{words(10)}. {p.capitalize()}. {words(10)}.") for i, p in enumerate(phrases)]
+    rows += [(60, " ".join(p.capitalize() + "." for p in phrases[::-1]))]
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     own = dict(rows)
     for first in (0, 10, 20, 30):
@@ -580,7 +647,7 @@ def test_line_dedup_short_lines_and_scripts(spark):
     for i in (21, 22, 31, 32):
         assert (chinese if i < 30 else hindi) not in got[i] and own[i][:30] == got[i][:30] and own[i][-30:] == got[i][-30:]
         assert len(got[i]) == len(own[i]) - len(chinese if i < 30 else hindi) - (i > 30)
-    assert got[40] == "की" and got[41] == "का"
+    assert got[40] == "की" and got[41] == "का" and got[60] == own[60]
 
 
 def test_language_fit_is_whole(spark):
