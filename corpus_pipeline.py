@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame; run() writes every stage's result to the shared folder and
 reads it again as the next one's documents. All stages but the last return the columns of documents; where a stage
 changes a text, n_chars follows it. The last returns the packed pieces.
+
+Rows with a null or repeated doc_id are documents of their own wherever their texts differ; null texts go with the
+quality rules; extra columns are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,8 +62,8 @@ def _sortable(docs: DataFrame, name: str) -> bool:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its text without passages that an earlier one holds."""
-    return sized(lines.dedup_lines(docs).drop("_spans"))
+    """Every document, its text without lines and sentences that an earlier one holds."""
+    return sized(lines.dedup_lines(docs, spans=None))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
