@@ -17,56 +17,45 @@ table gives no piece; other columns are ignored; a null doc_id is kept.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import binary_lists, materialise, parts_of, small_batches
-from gridloom.llm.tokens import drops_space, space_memo, spliced_ids
+from gridloom.llm.common import materialise, per_batch, small_batches, string_parts
+from gridloom.llm.tokens import CHUNK_CHARS, drops_space, space_memo, spliced_ids
 
 #: Pieces that one salted bucket of a length holds on average.
 BUCKET_ROWS = 200_000
 
 
 def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each piece: key, piece, start, length and ids (little-endian unsigned 32-bit integers)."""
+    """One row for each piece: key, piece, start, length and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
     small_batches(df.sparkSession)
     source = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     kind = source.schema["_key"].dataType.simpleString()
 
-    def run(batches):
+    def make():
         memo = space_memo(path) if drops_space(path) else None
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
 
-        def encoded(part: list[bytes]) -> list[bytes]:
-            if memo is not None:
-                return [ids + end for ids in memo.ids_many(part)]
-            return [b"".join(ids.astype("<u4").tobytes() for ids in spliced_ids(path, raw.decode("utf-8", "replace"))) + end for raw in part]
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            owner, rows = [], []
+            every = (ids for part in string_parts(batch.column(1)) for ids in (memo.ids_many(part) if memo is not None else (np.concatenate([x.astype("<u4") for x in spliced_ids(path, t, CHUNK_CHARS)]) for t in part.to_pylist())))
+            for n, ids in enumerate(every):
+                raw = np.concatenate([ids, end]).tobytes()
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    piece = raw[at : at + 4 * capacity]
+                    owner.append(n)
+                    rows.append((k, k * capacity, len(piece) // 4, zlib.crc32(piece)))
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["_key", "piece", "start", "length", "ids_crc32"])
 
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            every = (ids for part in parts_of(binary_lists(batch, "_text")) for ids in encoded(part))
-            for owner, ids in zip(batch.column(0), every):
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    rows.append((owner, n, n * capacity, (min(len(ids), at + 4 * capacity) - at) // 4, ids[at : at + 4 * capacity]))
-                held += len(ids)
-                if held > 8 << 20:
-                    yield pieces(rows, batch.schema.field(0).type)
-                    rows, held = [], 0
-            if rows:
-                yield pieces(rows, batch.schema.field(0).type)
-
-    def pieces(rows: list[tuple], owner: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x.as_py() for x in columns[0]], owner), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())],
-            names=["_key", "piece", "start", "length", "ids"],
-        )
-
-    return source.mapInArrow(run, f"_key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("_key", key)
+        return work
+
+    return source.mapInArrow(per_batch(make), f"_key {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_key", key)
 
 
 def sweep(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -152,5 +141,5 @@ def pack(pieces: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ("doc
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of all documents with their place: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = token_pieces(df, path, capacity, end_id, text, key).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = token_pieces(df, path, capacity, end_id, text, key)
     return pack(materialise(pieces, "pieces"), capacity, (key, "piece"))

@@ -6,11 +6,12 @@ normalisation step of the tokenizer can cross it. Where an overlap holds no such
 to the whole document, so counts always equal those of one encoding.
 
 A boundary is proven stable when it lies between a character that is not white space and a following white-space
-character: each supported tokenizer ends its pre-tokens there (word BPE drops white space, byte BPE and piece BPE put
-it in front of the next word). Added special strings hold no white space and so never lie across one either.
+character and the tokenizer's file shows that pre-tokens end there (`proven_boundaries`): word BPE drops white space,
+byte BPE and piece BPE put it in front of the next word, and no added special string holds any. Files that show neither
+are refused for texts longer than one chunk.
 
-Shorter documents of tokenizers that drop white space are encoded chunk by chunk between ASCII white space through a
-bounded memo, which the same proof allows.
+A text of up to `CHUNK_CHARS` is one chunk and needs no splicing. Tokenizers that drop white space encode it from one
+stable boundary to the next, each distinct string between two of them once, through a bounded memo.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated rows; an empty table gives
 an empty result; other columns are ignored.
@@ -20,14 +21,16 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Memo, binary_lists, parts_of, per_batch, small_batches
+from gridloom.llm.common import Memo, per_batch, small_batches, string_parts
 
 #: White space at which every tokenizer here ends a pre-token.
 SPACE = " \t\n\r\x0b\x0c"
@@ -35,24 +38,77 @@ STABLE = re.compile(rf"(?<=[^\s\x1c-\x1f\x85])(?=[{SPACE}])")
 #: Documents longer than this many characters are encoded in overlapping chunks.
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 512
+#: Fixed value: the split pattern under which words and punctuation may be encoded apart.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of one memo generation in a worker.
-MEMO_ENTRIES, MEMO_WORDS = 300_000, 600_000
+MEMO_ENTRIES = 500_000
+#: Kinds of bytes: 1 ASCII punctuation, 2 digits and small letters, 3 capitals, 0 all others.
+BYTE_KINDS = np.array([3 if 65 <= b <= 90 else 2 if chr(b).isalnum() and b < 128 else 1 if 33 <= b < 127 else 0 for b in range(256)], dtype=np.uint8)
 #: Stands between chunks that are encoded together; chunks that hold it are encoded alone.
 SENTINEL = "\x01"
 
 
-def drops_space(path: str) -> bool:
-    """True for tokenizer files whose pre-tokenizer drops white space, so that white space separates encodings."""
+def specification(path: str) -> dict:
+    """The contents of a tokenizer file; nothing for files of the other library."""
     if not path.endswith(".json"):
-        return False
+        return {}
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = [spec.get("pre_tokenizer") or {}, *(spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-    split = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "\\s" in str(s.get("pattern")) for s in steps)
+        return json.load(f)
+
+
+def steps_of(spec: dict, part: str, members: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, those of a sequence in order."""
+    whole = spec.get(part) or {}
+    return whole.get(members, [whole] if whole else [])
+
+
+def drops_space(path: str) -> bool:
+    """True for tokenizer files whose pre-tokenizer drops white space, so that white space separates encodings."""
+    spec = specification(path)
+    split = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "\\s" in str(s.get("pattern")) for s in steps_of(spec, "pre_tokenizer", "pretokenizers"))
     whole = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or set(t["content"]) & set(SPACE) for t in spec.get("added_tokens", []))
     return split and not whole
 
 
+def splits_words(path: str) -> bool:
+    """True for files whose pattern and normalizer are those that words and their punctuation may be encoded apart by.
+
+    The normalizer must be made of steps that change no lower-case Latin letter in composed form, and the pre-tokenizer
+    must be the fixed pattern, under which a run of letters is one pre-token and a run of punctuation after it another.
+    """
+    spec = specification(path)
+    normal = steps_of(spec, "normalizer", "normalizers")
+    known = all(s.get("type") in ("NFC", "Lowercase") or s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in normal)
+    before = steps_of(spec, "pre_tokenizer", "pretokenizers")
+    pattern = len(before) == 2 and before[0].get("pattern") == {"Regex": WORD_PATTERN} and before[1].get("type") == "ByteLevel" and not before[1].get("add_prefix_space") and not before[1].get("use_regex")
+    return known and pattern and drops_space(path)
+
+
+def lower_cases(path: str) -> bool:
+    return any(s.get("type") == "Lowercase" for s in steps_of(specification(path), "normalizer", "normalizers"))
+
+
+def plain_letters() -> str:
+    """Latin letters that are one code point in composed form and stay one when lower-cased, as a character class."""
+    return "A-Za-z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c and unicodedata.normalize("NFC", c.lower()) == c.lower())
+
+
+def proven_boundaries(path: str) -> bool:
+    """Whether the tokenizer file proves that a pre-token ends where white space begins.
+
+    Files that drop white space do by their pattern; byte-level files without normalizer do by the library's own
+    pattern; sentencepiece models do as they put a word's mark in front and no piece holds one further in.
+    """
+    if not path.endswith(".json"):
+        lib = library(path)
+        return not any("\u2581" in lib.piece.id_to_piece(n).lstrip("\u2581") for n in range(lib.piece.get_piece_size()))
+    spec = specification(path)
+    before = spec.get("pre_tokenizer") or {}
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not spec.get("normalizer")
+    special = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or set(t["content"]) & set(SPACE) for t in spec.get("added_tokens", []))
+    return (level and not special) or drops_space(path)
+
+
 class Library:
     """The tokenizer library for a file: ids, and ids with character offsets."""
 
@@ -90,25 +146,31 @@ def library(path: str) -> Library:
     return Library(path)
 
 
+@lru_cache(maxsize=4)
+def stable(path: str) -> bool:
+    return proven_boundaries(path)
+
+
 class SpaceMemo:
-    """Ids of a text, as little-endian unsigned 32-bit integers, for tokenizers that drop white space.
+    """Ids of texts, for tokenizers that drop white space.
 
-    Two bounded maps: from the bytes between white space to ids, and, for ASCII ones, from their lower-cased word and
-    their punctuation tail, which the pre-tokenizer always separates.
+    Texts are cut at white space and made distinct by Arrow; a bounded map gives the ids of each distinct chunk. Where
+    the file allows it (`splits_words`), words and punctuation are parted before and ASCII letters lower-cased, so that
+    there are fewer chunks; words of plain letters need no normaliser.
     """
 
-    PARTS = re.compile(rb"([!-~]*[A-Za-z0-9])([!-/:-@\[-`{-~]*)")
-
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES, words: int = MEMO_WORDS):
-        self.library = library(path)
-        self.chunks, self.words = Memo(entries), Memo(words)
-        self.bare, self.ends = self.bare_model()
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+        self.library, self.chunks = library(path), Memo(entries)
+        self.split, self.lower = splits_words(path), lower_cases(path)
+        self.plain = re.compile(f"[{plain_letters()}]+")
+        self.special = [t["content"].lower().encode() for t in specification(path).get("added_tokens", [])]
+        self.bare, self.ends = self.bare_model() if self.split else (None, None)
         sentinel = self.library.ids(SENTINEL)
         self.sentinel = sentinel[0] if len(sentinel) == 1 else None
 
     def bare_model(self):
-        """The library's model without normalisation and patterns, which change nothing in words of a to z, and which
-        ids end a word; (None, None) where the model does not mark word ends."""
+        """The library's model without normaliser and pattern, and which ids end a word; nothing where the model does
+        not mark word ends."""
         from tokenizers import Tokenizer, pre_tokenizers
 
         whole = self.library.tokenizer
@@ -116,38 +178,38 @@ class SpaceMemo:
         if not suffix:
             return None, None
         bare = Tokenizer(whole.model)
-        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = whole.get_vocab(with_added_tokens=True)
         ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, n in vocabulary.items():
             ends[n] = token.endswith(suffix)
-        trial = "the quick brown fox jumps over a lazy dog antidisestablishmentarianism qxzjkvw"
-        same = bare.encode(trial, add_special_tokens=False).ids == self.library.ids(trial)
-        return (bare, ends) if same else (None, None)
-
-    def encode_all(self, found: list[bytes]) -> list[bytes]:
-        """Ids of each string by the library, many in one call."""
-        if self.bare is None:
-            return self.encode_marked(found)
+        return bare, ends
+
+    def encode_all(self, found: list[str]) -> list[bytes]:
+        """Ids of each string as little-endian unsigned 32-bit integers by the library, many in one call."""
         out: list = [None] * len(found)
-        easy = [i for i, b in enumerate(found) if b.isalpha() and b.islower()]  # of bytes: a to z only
-        for at in range(0, len(easy), 512):
-            part = easy[at : at + 512]
-            ids = np.array(self.bare.encode(b" ".join([found[i] for i in part]).decode(), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(part):
-                for i, a, b in zip(part, [0, *stops], stops):
-                    out[i] = ids[a:b].tobytes()
+        if self.bare is not None:
+            plain = self.plain.fullmatch
+            easy = [i for i, w in enumerate(found) if plain(w)]
+            for at in range(0, len(easy), 512):
+                part = easy[at : at + 512]
+                words = " ".join([found[i] for i in part])
+                ids = np.array(self.bare.encode(words.lower() if self.lower else words, add_special_tokens=False).ids, dtype="<u4")
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stops) == len(part):
+                    raw, start = ids.tobytes(), 0
+                    for i, stop in zip(part, stops):
+                        out[i] = raw[4 * start : 4 * stop]
+                        start = stop
         rest = [i for i, value in enumerate(out) if value is None]
         for i, value in zip(rest, self.encode_marked([found[i] for i in rest])):
             out[i] = value
         return out
 
-    def encode_marked(self, found: list[bytes]) -> list[bytes]:
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
         """Ids of any strings by the library, many in one call, told apart by a sentinel."""
-        texts = [b.decode("utf-8", "replace") for b in found]
         plain = [i for i, t in enumerate(texts) if SENTINEL not in t] if self.sentinel is not None else []
-        out: list = [None] * len(found)
+        out: list = [None] * len(texts)
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
             ids = np.array(self.library.ids(f" {SENTINEL} ".join(texts[i] for i in part)), dtype="<u4")
@@ -161,34 +223,61 @@ class SpaceMemo:
                 out[i] = np.array(self.library.ids(texts[i]), dtype="<u4").tobytes()
         return out
 
-    def learn(self, chunks: list[bytes]) -> dict:
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """The map from chunks to ids, with all of these in it."""
-        missing = self.chunks.missing(chunks)
-        if missing:
-            parts, alone = {}, []
-            for chunk in missing:
-                m = self.PARTS.fullmatch(chunk) if b"<|" not in chunk else None
-                if m:
-                    parts[chunk] = m[1].lower(), m[2]
-                else:
-                    alone.append(chunk)
-            wanted = {w for pair in parts.values() for w in pair if w}
-            new = self.words.missing(wanted)
-            words = self.words.young
-            words.update(zip(new, self.encode_all(new)))
-            young = self.chunks.young
-            for chunk, (word, tail) in parts.items():
-                young[chunk] = words[word] + words[tail] if tail else words[word]
-            young.update(zip(alone, self.encode_all(alone)))
+        if missing := self.chunks.missing(chunks):
+            self.chunks.young.update(zip(missing, self.encode_all(missing)))
         return self.chunks.young
 
-    def ids_many(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.learn([c for chunks in split for c in chunks])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-    def ids(self, text: bytes) -> bytes:
-        return self.ids_many([text])[0]
+    def parted(self, texts: pa.Array) -> pa.Array:
+        """The texts with a space between a word and ASCII punctuation beside it, and ASCII letters lower-cased.
+
+        Both sides of such a place are encoded apart anyway: a run of letters and a run of punctuation are pre-tokens of
+        their own, but for an apostrophe in front of a letter. Texts that hold a special string stay as they are.
+        """
+        texts = pa.concat_arrays([texts.cast(pa.string())])
+        if not len(texts) or texts.buffers()[2] is None:
+            return texts
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        kind = BYTE_KINDS[raw]
+        low = np.where(kind == 3, raw | 32, raw) if self.lower else raw
+        if len(raw) < 2 or any(s in low.tobytes() for s in self.special):
+            return texts
+        word = kind >= 2
+        word[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # the letters from U+00C0 to U+00FF
+        mark = kind == 1
+        cut = np.zeros(len(raw) + 1, dtype=np.int64)
+        cut[1:-1] = (word[:-1] & mark[1:]) | (mark[:-1] & (raw[:-1] != 0x27) & (kind[1:] >= 2))
+        before = np.cumsum(cut)
+        out = np.full(len(raw) + int(before[-1]), 32, dtype=np.uint8)
+        out[np.arange(len(raw)) + before[:-1]] = low
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends + before[ends]).astype(np.int32).tobytes()), pa.py_buffer(out.tobytes()))
+
+    def distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of texts without nulls: where each one's chunks end, the number of each chunk, and the ids of each number."""
+        split = pc.ascii_split_whitespace(self.parted(texts) if self.split else texts)
+        ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.learn(names)
+        return ends, coded.indices.to_numpy(zero_copy_only=False), list(map(known.__getitem__, names))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        ends, which, found = self.distinct(texts)
+        total = np.concatenate([[0], np.cumsum(np.array([len(x) // 4 for x in found], dtype=np.int64)[which])])
+        return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+
+    def ids_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        ends, which, found = self.distinct(texts)
+        every, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) // 4 for x in found], dtype=np.int64)
+        starts, own = np.cumsum(sizes) - sizes, sizes[which]
+        total = np.cumsum(own)
+        ids = every[np.repeat(starts[which] - (total - own), own) + np.arange(total[-1] if len(total) else 0)]
+        return np.split(ids, np.concatenate([[0], total])[ends])[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -230,6 +319,8 @@ def spliced_ids(path: str, text: str, chunk: int = CHUNK_CHARS, overlap: int = O
     if size <= chunk:
         yield lib.spans(text)[0]
         return
+    if not stable(path):
+        raise ValueError("the tokenizer's file does not prove that pre-tokens end at white space")
     start, end = 0, chunk
     ids, at = lib.spans(text[:end])
     first = 0  # tokens of the current chunk that start before this offset are already out
@@ -263,19 +354,18 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     def make():
         memo = space_memo(path) if drops_space(path) else None
 
-        def counts(part: list[bytes]) -> list[int]:
-            short = [t if memo is not None and len(t) <= chunk else b"" for t in part]
-            found = [len(ids) // 4 for ids in memo.ids_many(short)] if memo is not None else [0] * len(part)
-            for k, raw in enumerate(part):
-                if raw and not short[k]:
-                    found[k] = sum(len(ids) for ids in spliced_ids(path, raw.decode("utf-8", "replace"), chunk, overlap))
+        def counts(part: pa.Array) -> list[int]:
+            sizes = pc.utf8_length(part).to_numpy(zero_copy_only=False)
+            found = memo.counts(pc.if_else(pa.array(sizes <= chunk), part, "")).tolist() if memo is not None else [0] * len(part)
+            for k in np.flatnonzero(sizes > (chunk if memo is not None else 0)).tolist():
+                found[k] = sum(len(ids) for ids in spliced_ids(path, part[k].as_py(), chunk, overlap))
             return found
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or b"" for t in binary_lists(batch, "_text")]
+            texts = batch.column(batch.schema.get_field_index("_text"))
             kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-            found = [n for part in parts_of(texts) for n in counts(part)]
-            return pa.RecordBatch.from_arrays([*kept, pa.array(map(len, texts), pa.int64()), pa.array(found, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
+            found = [n for part in string_parts(texts) for n in counts(part)]
+            return pa.RecordBatch.from_arrays([*kept, pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array(found, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
 
         return work
 
