@@ -40,34 +40,34 @@ from gridloom.llm.common import free_name, materialise, small_batches
 #: Ends of lines, and of sentences.
 BOUNDARY = regex.compile(r"\n|(?<=[\p{STerm}…])[ \t]+|(?<=[。！？｡．])")
 WORDS = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
-ASCII_WORDS = re.compile(r"[A-Za-z0-9]+")
+#: Texts without these characters hold no marks and no script but Latin, and the same patterns have a plainer form.
+WIDE = re.compile("[\u0300-\u1fff\u20d0-\u20ff\u2c00-\U0010ffff]")
+LATIN_BOUNDARY, LATIN_WORDS = re.compile(r"\n|(?<=[.!?…‼‽⁇⁈⁉])[ \t]+"), re.compile(r"[^\W_]+")
 #: Sentences of more words are cut by content, into parts of about so many.
 LONG_UNIT, PART = 40, 12
 #: Words that a sentence is digested with, at least.
 CONTEXT_WORDS = 8
 
 
-def parts(text: str, start: int, stop: int) -> list[tuple[int, int, list[str]]]:
-    """A long sentence in parts: cut between two words where their hash says so."""
-    out, at, words, end, last = [], start, [], start, ""
-    for m in WORDS.finditer(text, start, stop):
-        word = m.group()
-        if words and xxhash.xxh32_intdigest(f"{last} {word}".lower().encode()) % PART == 0:
-            out.append((at, end, words))
-            at, words = m.start(), []
-        words.append(word)
-        end, last = m.end(), word
-    return [*out, (at, stop, words)]
+def parts(text: str, start: int, stop: int, found: list) -> list[tuple[int, int, list[str]]]:
+    """A long sentence in parts: cut between two words (found: their matches) where their hash says so."""
+    words = [m.group() for m in found]
+    plain = " ".join(words).lower().split(" ")
+    hashed = xxhash.xxh32_intdigest
+    cuts = [n for n, (a, b) in enumerate(zip(plain, plain[1:]), 1) if hashed(f"{a} {b}") % PART == 0]
+    edges = [(a, b) for a, b in zip([0, *cuts], [*cuts, len(words)])]
+    return [(found[a].start() if a else start, found[b - 1].end() if b < len(words) else stop, words[a:b]) for a, b in edges]
 
 
 def lines_of(text: str) -> list[tuple[int, int, list[tuple[int, int, list[str]]]]]:
     """(start, end, sentences) of each line that has a word, sentences as (start, end, words)."""
     out, at, start, found = [], 0, 0, []
-    words_in = ASCII_WORDS.findall if text.isascii() else WORDS.findall
-    for m in [*BOUNDARY.finditer(text), None]:
+    boundary, in_words = (BOUNDARY, WORDS) if WIDE.search(text) else (LATIN_BOUNDARY, LATIN_WORDS)
+    words_in = in_words.findall
+    for m in [*boundary.finditer(text), None]:
         stop = m.start() if m else len(text)
         if words := words_in(text, at, stop):
-            found += [(at, stop, words)] if len(words) <= LONG_UNIT else parts(text, at, stop)
+            found += [(at, stop, words)] if len(words) <= LONG_UNIT else parts(text, at, stop, list(in_words.finditer(text, at, stop)))
         at = m.end() if m else stop
         if m is None or m.group() == "\n":
             if found:

@@ -37,8 +37,8 @@ from gridloom.llm.common import binary_lists, materialise, per_batch, small_batc
 SEED = 42
 #: Fingerprints in a tile, about; tiles of one cell that a key of the join of tiles holds, about.
 TILE, SPLIT = 2048, 16
-#: Keys over which the links of one node are spread where they meet its smallest neighbour.
-SALTS = 16
+#: Nodes that hold more than this share of all links (and more than so many) are spread over so many keys.
+HUB_SHARE, HUB_LINKS, SALTS = 1 / 256, 256, 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 #: Sets, and shingles in all of them, of a tile whose pairs are compared exactly.
@@ -260,10 +260,21 @@ def linked(prints: DataFrame, lanes: int, radius: int, words: int = 4, similarit
     return pairs.select("nodes_a", "sizes_a", "nodes", "sizes").mapInArrow(links, "a string, b string").distinct()
 
 
-def with_least(rows: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
-    """rows with the column m of least joined by node; the rows of one node are spread by their other end."""
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    each = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def hubs_of(both: DataFrame, links: int) -> list[str]:
+    """The nodes with very many links; fewer than 2 / HUB_SHARE, whatever the links."""
+    least = max(HUB_LINKS, links * HUB_SHARE)
+    if links <= least:
+        return []
+    return [r["a"] for r in both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > least).select("a").collect()]
+
+
+def with_least(rows: DataFrame, least: DataFrame, node: str, other: str, hubs: list[str]) -> DataFrame:
+    """rows with the column m of least joined by node; the rows of a hub are spread by their other end."""
+    if not hubs:
+        return rows.join(least, node)
+    hub = F.col(node).isin(hubs)
+    spread = rows.withColumn("_salt", F.when(hub, F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    each = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hub, F.lit(SALTS - 1)).otherwise(F.lit(0)))))
     return spread.join(each, [node, "_salt"]).drop("_salt")
 
 
@@ -274,19 +285,20 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     every link leads to a root. Every round is a written table.
     """
     edges = materialise(links.select("a", "b").where("a < b").distinct(), "links")
-    seen = None
+    seen, count = None, edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hubs = hubs_of(both, count)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = with_least(both.where("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = with_least(both.where("b > a"), least, "a", "b", hubs).select(F.col("m").alias("a"), "b").where("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = with_least(large, low, "b", "a")
+        small = with_least(large, low, "b", "a", hubs)
         star = small.select(F.col("m").alias("a"), "b").unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         edges = materialise(star, "stars")
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == seen:
             break
-        seen = state
+        seen, count = state, state["n"]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -326,7 +338,8 @@ def exact_links(df: DataFrame, distinct: DataFrame, shingle: int, similarity: fl
     """
     counts = distinct.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_total")).where("_n > 1")
     subs = F.ceil(F.greatest(F.col("_n") / SET_TILE, F.col("_total") / SET_TILE_SHINGLES)).cast("int")
-    asked = distinct.join(counts.select("root", subs.alias("subs")), "root").select("own", "root", "subs", F.col("least.doc_id").alias("_id"), F.col("least.doc").alias("_doc"))
+    # written, so that the join may split a component with very many sets
+    asked = distinct.join(materialise(counts.select("root", subs.alias("subs")), "counts"), "root").select("own", "root", "subs", F.col("least.doc_id").alias("_id"), F.col("least.doc").alias("_doc"))
     texts = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.col(text).cast("string").alias("_text"))
     found = asked.join(texts, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_doc"))).select("own", "root", "subs", "_text")
 
@@ -381,5 +394,5 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 2, lanes: int
     roots = components(linked(distinct, lanes, radius, words))
     labelled = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = labelled.join(smallest, "root").select("node", "component_id")
+    final = labelled.join(materialise(smallest, "smallest"), "root").select("node", "component_id")
     return prints.join(final, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
