@@ -12,7 +12,7 @@ from gridloom.operators import cluster, decomp, imaging, labware, sequences, ten
 from gridloom.operators.kernels import Kernel
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.tensor import Cube
-from gridloom.plans import inputs
+from gridloom.plans import handles, inputs
 from gridloom.plans.inputs import A, C, G, H, K, L, M, O, T
 from gridloom.sources import container
 
@@ -340,12 +340,12 @@ register("labware_replicate", lambda s, d: labware.replicate(labware.layout(plat
 held = lambda s, d: inputs.read(s, d, "customer").join(inputs.read(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("plate_id"), F.concat(F.char((F.lit(65) + F.col("c_custkey") % 4).cast("long")), (F.col("c_custkey") % 12 + 1).cast("string")).alias("position"), F.col("c_custkey").alias("item_id"))
 HELD = "Q AS (SELECT n_name AS plate_id, chr((65 + c_custkey % 4)::INTEGER) || (c_custkey % 12 + 1) AS position, c_custkey AS item_id FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 register("labware_filled_wells", lambda s, d: labware.filled_wells(labware.layout(plates(s, d)), held(s, d)).select(*WELL), out(f"{P}, {HELD}", "*", "FROM P WHERE EXISTS (SELECT 1 FROM Q WHERE Q.plate_id = P.plate_id AND Q.position = P.position)"))
-register("labware_duplicate", lambda s, d: labware.duplicate(held(s, d), ("CHINA", "A1"), ("FRANCE", "B2")), out(HELD, "plate_id, position, item_id", "FROM Q WHERE NOT (plate_id = 'FRANCE' AND position = 'B2') UNION ALL SELECT 'FRANCE', 'B2', item_id FROM Q WHERE plate_id = 'CHINA' AND position = 'A1'"))
+register("labware_duplicate", lambda s, d: labware.duplicate(held(s, d), ("NATION_3", "A1"), ("NATION_5", "B2")), out(HELD, "plate_id, position, item_id", "FROM Q WHERE NOT (plate_id = 'NATION_5' AND position = 'B2') UNION ALL SELECT 'NATION_5', 'B2', item_id FROM Q WHERE plate_id = 'NATION_3' AND position = 'A1'"))
 listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
 register("imaging_tracking", lambda s, d: imaging.tracking_data(inputs.tracking(s, d)).select("idx", listed("children"), listed("parents")), out(K, "idx, coalesce(string_agg(child::VARCHAR, ',' ORDER BY child), '') AS children, coalesce(string_agg(parent::VARCHAR, ',' ORDER BY parent), '') AS parents", "FROM (SELECT obj_idx1 AS idx, obj_idx2 AS child, NULL AS parent FROM K UNION ALL SELECT obj_idx2, NULL, obj_idx1 FROM K) GROUP BY idx"))
 register("imaging_objects_by_time", lambda s, d: imaging.objects_by_time(inputs.objects(s, d), 5).select("idx", "obj_label_id"), out(O, "idx, obj_label_id", "FROM O WHERE time_idx = 5"))
 register("imaging_children", lambda s, d: imaging.children(inputs.objects(s, d), inputs.tracking(s, d), 10).select("idx"), out(K, "obj_idx2 AS idx", "FROM K WHERE obj_idx1 = 10"))
-register("imaging_parents", lambda s, d: imaging.parents(inputs.objects(s, d), inputs.tracking(s, d), 10).select("idx"), out(K, "obj_idx1 AS idx", "FROM K WHERE obj_idx2 = 10"))
+register("imaging_parents", lambda s, d: imaging.parents(inputs.objects(s, d), inputs.tracking(s, d), 904).select("idx"), out(K, "obj_idx1 AS idx", "FROM K WHERE obj_idx2 = 904"))
 links = lambda s, d: inputs.tracking(s, d).select(F.col("obj_label_id").alias("obj_id"), (F.row_number().over(Window.partitionBy("obj_label_id").orderBy("ts", "obj_idx1"))).alias("pos"), F.col("obj_idx1").alias("idx1"), F.col("obj_idx2").alias("idx2"))
 register("imaging_events", lambda s, d: imaging.all_events(links(s, d)).select("obj_id", listed("objects")), out(O, "obj_label_id AS obj_id, string_agg(idx::VARCHAR, ',' ORDER BY ts, idx) AS objects", "FROM O GROUP BY obj_label_id HAVING count(*) > 1"))
 classes = lambda s, d: imaging.all_classes(inputs.read(s, d, "nation").select(F.col("n_nationkey").alias("ord"), (F.col("n_nationkey") + 1).alias("label"), F.col("n_name").alias("name"), F.lit("#fff").alias("color")))
@@ -355,3 +355,5 @@ register("container_groups", lambda s, d: container.list_children(inputs.paths(s
 register("container_all_groups", lambda s, d: container.list_below(inputs.paths(s, d)), out(H, "path, len(string_split(path, '/'))::INTEGER AS depth", "FROM H WHERE kind = 'group'"))
 register("container_datasets", lambda s, d: inputs.paths(s, d).where("kind = 'dataset'").select("parent", "name"), out(H, "parent, name", "FROM H WHERE kind = 'dataset'"))
 register("container_slice", lambda s, d: container.hyperslab(inputs.embeddings(s, d).df.select(F.array("i", F.col("j").cast("long")).alias("idx"), F.col("v").alias("value")), [1, 2], [3, 10], [100, 4], [2, 3]).select(F.col("idx")[0].alias("i"), F.col("idx")[1].alias("j"), F.round("value", 6).alias("v")), out(M, "i, j::BIGINT AS j, round(v, 6) AS v", "FROM M WHERE i >= 1 AND i < 1 + 99 * 3 + 2 AND (i - 1) % 3 < 2 AND j >= 2 AND j < 2 + 3 * 10 + 3 AND (j - 2) % 10 < 3"))
+QUERIES |= handles.QUERIES
+SQL |= handles.SQL
