@@ -83,6 +83,23 @@ def mahalanobis_distances(rows: DataFrame, memberships: DataFrame, prototypes: D
     return rows.mapInPandas(measure, "i long, c int, d double")
 
 
+def weighted_manhattan_distances(rows: DataFrame, memberships: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """Distances (i, c, d) by absolute differences, each column weighted by the fuzzy mean of its differences."""
+    cells = rows.select("i", F.posexplode("x").alias("j", "v")).join(F.broadcast(prototypes), "j")  # clusters times dimensions
+    apart = cells.select("i", "c", "j", F.abs(F.col("v") - F.col("p")).alias("a"))
+    weight = F.col("u") * F.col("u")
+    spread = apart.join(memberships, ["i", "c"]).groupBy("c", "j").agg((F.sum(weight * F.col("a")) / F.sum(weight)).alias("s"))
+    scaled = apart.join(F.broadcast(spread), ["c", "j"])
+    return scaled.groupBy("i", "c").agg(F.sum(F.when(F.col("s") > 0, F.col("a") / F.nullif(F.col("s"), F.lit(0.0))).otherwise(0.0)).alias("d"))
+
+
+def get_distances(rows: DataFrame, memberships: DataFrame, prototypes: DataFrame, measure: int = 0) -> DataFrame:
+    """0: Euclidean, 1: Mahalanobis by cluster, 2: weighted Manhattan."""
+    if measure == 1:
+        return mahalanobis_distances(rows, memberships, prototypes)
+    return weighted_manhattan_distances(rows, memberships, prototypes) if measure == 2 else prototype_distances(rows, prototypes)
+
+
 def update_partition(distances: DataFrame, fuzz: float = 2.0) -> DataFrame:
     """u = 1 / sum (d_c / d_k)^(2 / (fuzz - 1)) over non-zero d_k; 1 where d is 0."""
     e = 2.0 / (fuzz - 1.0)
@@ -90,12 +107,13 @@ def update_partition(distances: DataFrame, fuzz: float = 2.0) -> DataFrame:
     return distances.select("c", "i", F.when(F.col("d") == 0, 1.0).otherwise(F.pow(F.col("d"), F.lit(-e)) / rest).alias("u"))
 
 
-def fuzzy_cmeans(rows: DataFrame, clusters: int = 2, rounds: int = 1000, tol: float = 0.01, fuzz: float = 2.0, seed: int = 0, write=None) -> tuple[DataFrame, DataFrame, int]:
+def fuzzy_cmeans(rows: DataFrame, clusters: int = 2, rounds: int = 1000, tol: float = 0.01, fuzz: float = 2.0, seed: int = 0, write=None, measure: int = 0, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Memberships, prototypes and rounds; measure as in get_distances, start: the first memberships; write cuts lineage."""
     write = write or (lambda df: df.checkpoint())
-    u = write(initialize_partition(rows, clusters, seed))
+    u = write(initialize_partition(rows, clusters, seed) if start is None else start)
     for step in range(1, rounds + 1):
         p = get_prototypes(rows, u, fuzz)
-        new = write(update_partition(prototype_distances(rows, p), fuzz))
+        new = write(update_partition(get_distances(rows, u, p, measure), fuzz))
         shift = new.join(u.withColumnRenamed("u", "o"), ["c", "i"]).agg(F.max(F.abs(F.col("u") - F.col("o")))).first()[0]
         u = new
         if shift is None or shift < tol:
@@ -126,8 +144,8 @@ def kmeans_step(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def kmeans(rows: DataFrame, clusters: int, rounds: int = 100, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    centres = seeds(rows, clusters, seed)
+def kmeans(rows: DataFrame, clusters: int, rounds: int = 100, seed: int = 0, centres: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    centres = seeds(rows, clusters, seed) if centres is None else centres
     for _ in range(rounds):
         new = kmeans_step(rows, centres)
         done, centres = np.abs(new - centres).max() < 1e-16, new
@@ -154,6 +172,29 @@ class GaussianMixture:
             raise ValueError("priors must sum to 1")
         self.means = self.covariances = None
 
+    def cluster_means(self) -> DataFrame:
+        """(c, j, v)"""
+        return self._cells(self.means)
+
+    def cluster_covariances(self) -> DataFrame:
+        """(c, j, k, v)"""
+        rows = [(c, j, k, float(cov[j, k])) for c, cov in enumerate(self.covariances) for j in range(len(cov)) for k in range(len(cov))]
+        return self.rows.sparkSession.createDataFrame(rows, "c int, j int, k int, v double")
+
+    def cluster_priors(self) -> DataFrame:
+        """(c, v)"""
+        return self.rows.sparkSession.createDataFrame([(c, float(p)) for c, p in enumerate(self.priors)], "c int, v double")
+
+    def cluster_memberships(self) -> DataFrame:
+        """(i, c, v): the posterior of every cluster for every row."""
+        logs = self.posterior_log_likelihoods()
+        top = F.array_max("l")
+        total = F.aggregate("l", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        return logs.select("i", F.posexplode(F.transform("l", lambda x: F.exp(x - top) / total)).alias("c", "v"))
+
+    def _cells(self, x: np.ndarray) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([(c, j, float(v)) for c, row in enumerate(x) for j, v in enumerate(row)], "c int, j int, v double")
+
     def initialize(self, method: str = "random") -> GaussianMixture:
         n = len(self.rows.first()["x"])
         self.means = kmeans(self.rows, self.k, self.rounds, self.seed)[1] if method == "kmeans" else seeds(self.rows, self.k, self.seed)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.matrix import Matrix
+from gridloom.operators.matrix import Matrix, numbered, text_lines
 
 #: Vertices up to which dense graph algorithms run on the driver.
 LOCAL_VERTICES = 5000
@@ -20,7 +20,7 @@ class Graph:
     @classmethod
     def read(cls, spark, path: str, keep_self: bool = False, format: str = "biolayout", sep: str = "\t") -> Graph:
         """biolayout: edge lines, default weight 1, without zero weights, later lines win; matrix: a labelled table."""
-        lines = spark.read.text(path).withColumn("o", F.monotonically_increasing_id())
+        lines = text_lines(spark, path).withColumn("o", F.struct("p", "b", "o"))
         if format == "matrix":
             parts = lines.select("o", F.split("value", sep).alias("f"))
             head = parts.orderBy("o").first()["f"]
@@ -36,12 +36,26 @@ class Graph:
         attributes = marks.groupBy(F.col("f")[1].alias("id")).agg(F.max_by(F.col("f")[2], "o").alias("value")).select("id", F.lit("NODECLASS").alias("name"), "value")
         return cls(last if keep_self else last.where("src <> dst"), attributes)
 
-    def export(self, format: str = "layout") -> DataFrame:
-        """Lines of a layout or dot file, as (part, line); parts order the file."""
+    @classmethod
+    def file_to_matrix(cls, spark, path: str, keep_self: bool = False) -> tuple[Matrix, list]:
+        """An edge list as a dense symmetric matrix, and its nodes in order; zero weights are kept as zeros."""
+        fields = F.split("value", "\t")
+        rows = text_lines(spark, path).where(~F.col("value").startswith("//") & (F.size(fields) >= 2))
+        edges = rows.select(F.struct("p", "b", "o").alias("o"), F.least(fields[0], fields[1]).alias("src"), F.greatest(fields[0], fields[1]).alias("dst"), F.coalesce(F.try_element_at(fields, F.lit(3)).try_cast("double"), F.lit(1.0)).alias("w"))
+        last = edges.groupBy("src", "dst").agg(F.max_by("w", "o").alias("w"))
+        graph = cls(last if keep_self else last.where("src <> dst"))
+        names = [r["id"] for r in graph.vertices().orderBy("id").limit(LOCAL_VERTICES + 1).collect()]
+        if len(names) > LOCAL_VERTICES:
+            raise ValueError("too many vertices for a dense matrix")
+        return graph.get_adjacency_matrix(), names
+
+    def export(self, format: str = "layout", size: str | None = None, orientation: str | None = None, splines: str | None = None, edge_labels: bool = False) -> DataFrame:
+        """Lines of a layout or dot file, as (part, line); parts order the file. The options are those of dot files."""
         label = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
         if format == "dot":
-            body = self.edges.select(F.lit(1).alias("part"), F.concat(label("src"), F.lit(" -- "), label("dst"), F.lit(" [weight="), F.col("w").cast("string"), F.lit("];")).alias("line"))
-            ends = self.edges.sparkSession.createDataFrame([(0, "graph g {"), (2, "}")], "part int, line string")
+            body = self.edges.select(F.lit(1).alias("part"), F.concat(label("src"), F.lit(" -- "), label("dst"), F.lit(" [weight="), F.col("w").cast("string"), *([F.lit(", label="), label("w")] if edge_labels else []), F.lit("];")).alias("line"))
+            options = [f'{name}="{value}";' for name, value in (("size", size), ("orientation", orientation), ("splines", splines)) if value is not None]
+            ends = self.edges.sparkSession.createDataFrame([(0, " ".join(["graph g {", *options])), (2, "}")], "part int, line string")
             return body.unionByName(ends)
         body = self.edges.select(F.lit(0).alias("part"), F.concat_ws("\t", "src", "dst", F.col("w").cast("string")).alias("line"))
         if self.attributes is not None:
@@ -64,7 +78,7 @@ class Graph:
 
     def index(self) -> DataFrame:
         """(id, n): vertices numbered from 0 in order of id; for graphs that become matrices."""
-        return self.vertices().select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("n"))
+        return numbered(self.vertices(), "id").select("id", F.col("r").cast("int").alias("n"))
 
     def get_adjacency_matrix(self) -> Matrix:
         """Dense symmetric weights, vertices in order of id."""
@@ -76,17 +90,27 @@ class Graph:
         return Matrix(grid, size, size)
 
     def connected_components(self, write=None, rounds: int = 200) -> DataFrame:
-        """(id, component): the smallest id reachable, by repeated minima over neighbours; write cuts lineage."""
+        """(id, component): the smallest id reachable, by alternating stars, whose rounds grow with the logarithm of the
+        longest path; write cuts lineage."""
         write = write or (lambda df: df.checkpoint())
-        both = self.both_ways().select("src", "dst")
-        label = write(self.vertices().select("id", F.col("id").alias("component")))
+        pairs = write(self.edges.where("src <> dst").select("src", "dst").distinct())
+        seen = None
         for _ in range(rounds):
-            near = both.join(label, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("c"))
-            new = write(label.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"), (F.coalesce("c", "component") < F.col("component")).alias("changed")))
-            label = new.select("id", "component")
-            if not new.where("changed").limit(1).count():
-                return label
-        raise RuntimeError("components did not settle")
+            for larger in (True, False):  # first the larger neighbours of a node, then the smaller, meet its least one
+                turned = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+                sided = pairs.unionByName(turned) if larger else turned
+                least = sided.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("low"))
+                met = sided.join(least, F.col("src") == F.col("node"))
+                kept = met.where("dst > src").select("low", "dst") if larger else met.select("low", "dst").unionByName(met.select("low", F.col("src").alias("dst")))
+                pairs = write(kept.where("low <> dst").select(F.col("low").alias("src"), "dst").distinct())
+            now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
+            if now == seen:
+                break
+            seen = now
+        else:
+            raise RuntimeError("components did not settle")
+        roots = pairs.select(F.col("dst").alias("id"), F.col("src").alias("component"))
+        return self.vertices().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
     def is_connected(self) -> bool:
         return self.connected_components().select("component").distinct().count() <= 1

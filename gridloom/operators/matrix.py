@@ -21,6 +21,10 @@ BLOCK_ROWS = 1024
 EQUAL, SYMMETRIC, ZERO, SMALL_STD, EPS = 1e-12, 1e-15, 1e-12, 5e-13, 2.220446049250313e-16
 
 
+#: Columns up to which one row a column is broadcast; rows and columns of a block of a product.
+BROADCAST_COLUMNS, PRODUCT_BLOCK = 100_000, 256
+
+
 def positive_infinity() -> Column:
     return F.lit(float("inf"))
 
@@ -34,6 +38,9 @@ def divide(a: Column, b: Column) -> Column:
 class Matrix:
     """A coordinate frame with m rows and n columns; every cell has a row in the frame unless made with sparse=True."""
 
+    #: (i, x), where the rows are at hand as arrays.
+    vectors: DataFrame | None = None
+
     def __init__(self, df: DataFrame, m: int, n: int):
         self.df, self.m, self.n = df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v")), int(m), int(n)
 
@@ -76,26 +83,31 @@ class Matrix:
     @classmethod
     def from_vectors(cls, df: DataFrame, index: str, vector: str, m: int, n: int) -> Matrix:
         """Rows from an index column and an array column."""
-        return cls(df.select(F.col(index).alias("i"), F.posexplode(vector).alias("j", "v")), m, n)
+        out = cls(df.select(F.col(index).alias("i"), F.posexplode(vector).alias("j", "v")), m, n)
+        out.vectors = df.select(F.col(index).alias("i"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
+        return out
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, sep: str = r"\s+", colnames: bool = False, rownames: bool = False) -> tuple[Matrix, list[str], list[str]]:
         """Delimited text; blank lines are skipped; the first line's fields are the column labels in any case."""
-        lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o"))
-        order = Window.orderBy("p", "b", "o")  # a text matrix with labels is small: its row labels are returned
-        rows = lines.select((F.row_number().over(order) - 1).alias("r"), F.split(F.trim("value") if not rownames else F.rtrim("value"), sep).alias("f"))
+        rows = numbered(text_lines(spark, path).where(F.trim("value") != ""), "p", "b", "o")
+        rows = rows.select("r", F.split(F.trim("value") if not rownames else F.rtrim("value"), sep).alias("f"))
         head = rows.where("r = 0").first()["f"]
         columns = head[1:] if rownames else list(head)
         body = rows.where("r > 0").withColumn("r", F.col("r") - 1) if colnames else rows
         cells = F.slice("f", 2, F.size("f") - 1) if rownames else F.col("f")
-        names = [r["n"] for r in body.select("r", F.col("f")[0].alias("n")).orderBy("r").collect()] if rownames else []
         m = body.count()
+        if rownames and m > LOCAL_CELLS:
+            raise ValueError(f"{m} row labels are too many to return")
+        names = [r["n"] for r in body.select("r", F.col("f")[0].alias("n")).orderBy("r").collect()] if rownames else []
         return cls(body.select(F.col("r").alias("i"), F.posexplode(F.transform(cells, lambda x: x.cast("double"))).alias("j", "v")), m, len(columns)), names, columns
 
     # sinks
 
     def rows_frame(self) -> DataFrame:
-        """(i, x): each row as an array in column order."""
+        """(i, x): each row as an array in column order; the source's own arrays where the matrix has them."""
+        if self.vectors is not None:
+            return self.vectors
         return self.df.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("x"))
 
     def to_numpy(self) -> np.ndarray:
@@ -134,6 +146,14 @@ class Matrix:
 
     # addressing and updates
 
+    def clone(self) -> Matrix:
+        """A matrix of the same cells; frames never change, so nothing is copied."""
+        return Matrix(self.df.select("i", "j", "v"), self.m, self.n)
+
+    def release(self) -> None:
+        """Frees what is cached of the cells."""
+        self.df.unpersist()
+
     def dims(self) -> tuple[int, int]:
         return self.m, self.n
 
@@ -274,7 +294,7 @@ class Matrix:
         return self._pairwise(b, "inner", lambda x, y: x * y)
 
     def multiply(self, b: Matrix | float) -> Matrix:
-        """Matrix product: equal inner indices meet, partial sums are combined before the shuffle."""
+        """Matrix product in blocks: each block pair is one NumPy product, and sums over the inner blocks follow."""
         if not isinstance(b, Matrix):
             return self._cells(lambda x: x * float(b))
         for one, other in ((self, b), (b, self)):
@@ -282,9 +302,26 @@ class Matrix:
                 return other.multiply(one.get(0, 0))
         if self.n != b.m:
             raise ValueError("inner dimensions differ")
-        right = b.df.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
-        product = self.df.join(right, F.col("j") == F.col("k")).groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-        return Matrix(product, self.m, b.n)
+        side = lambda size: F.lit(max(0, -(-size // PRODUCT_BLOCK) - 1))
+        block = lambda c: F.floor(F.col(c) / PRODUCT_BLOCK).cast("long")
+        left = self.df.select("i", "j", "v", block("i").alias("ib"), block("j").alias("kb"), F.explode(F.sequence(F.lit(0), side(b.n)).cast("array<long>")).alias("jb"))
+        right = b.df.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), side(self.m)).cast("array<long>")).alias("ib2"), block("i").alias("kb2"), block("j").alias("jb2"))
+
+        def product(key, x, y):
+            import pandas as pd
+
+            if not len(x) or not len(y):
+                return pd.DataFrame({"i": [], "j": [], "v": []})
+            rows, x_at = np.unique(x["i"].to_numpy(), return_inverse=True)
+            columns, y_at = np.unique(y["c"].to_numpy(), return_inverse=True)
+            first = np.zeros((len(rows), PRODUCT_BLOCK))
+            second = np.zeros((PRODUCT_BLOCK, len(columns)))
+            first[x_at, x["j"].to_numpy() % PRODUCT_BLOCK] = x["v"]
+            second[y["k"].to_numpy() % PRODUCT_BLOCK, y_at] = y["w"]
+            return pd.DataFrame({"i": np.repeat(rows, len(columns)), "j": np.tile(columns, len(rows)).astype(np.int32), "v": (first @ second).ravel()})
+
+        parts = left.groupBy("ib", "kb", "jb").cogroup(right.groupBy("ib2", "kb2", "jb2")).applyInPandas(product, "i long, j int, v double")
+        return Matrix(parts.groupBy("i", "j").agg(F.sum("v").alias("v")), self.m, b.n)
 
     def gram(self) -> Matrix:
         """A'A: one pass over the rows, each task sums its own n x n matrix."""
@@ -411,16 +448,21 @@ class Matrix:
     def frobenius_norm(self) -> DataFrame:
         return self.df.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v"))
 
+    def by_column(self, *aggregates: Column) -> DataFrame:
+        """The cells with aggregates of their column, which tasks combine before the shuffle; one row a column is joined."""
+        sums = self.df.groupBy("j").agg(*aggregates)
+        return self.df.join(F.broadcast(sums) if self.n <= BROADCAST_COLUMNS else sums, "j")
+
     def covariance(self) -> Matrix:
         """Sample covariance of columns, over the Gram matrix of centred rows."""
-        centred = Matrix(self.df.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("j"))), self.m, self.n)
+        centred = Matrix(self.by_column(F.avg("v").alias("a")).select("i", "j", (F.col("v") - F.col("a")).alias("v")), self.m, self.n)
         return centred.gram().multiply(1.0 / max(1, self.m - 1))
 
     def correlation(self) -> Matrix:
         """Pearson correlation of columns; deviations up to 5e-13 count as 1; the diagonal is 1."""
         cov = self.covariance().df
         std = cov.where("i = j").select(F.col("i").alias("k"), F.when(F.sqrt("v") <= SMALL_STD, 1.0).otherwise(F.sqrt("v")).alias("s"))
-        std = F.broadcast(std) if self.n <= 100_000 else std  # one row a column
+        std = F.broadcast(std) if self.n <= BROADCAST_COLUMNS else std  # one row a column
         both = cov.join(std.withColumnRenamed("s", "si"), F.col("i") == F.col("k")).drop("k").join(std.withColumnRenamed("s", "sj"), F.col("j") == F.col("k"))
         return Matrix(both.select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("v") / (F.col("si") * F.col("sj"))).alias("v")), self.n, self.n)
 
@@ -474,14 +516,13 @@ class Matrix:
         return Matrix(self.df.mapInPandas(run, self.df.schema), self.m, self.n)
 
     def standardize(self) -> Matrix:
-        w = Window.partitionBy("j")
-        z = divide(F.col("v") - F.avg("v").over(w), F.stddev_samp("v").over(w))
-        return Matrix(self.df.withColumn("v", F.when(F.abs(z) < 1e-16, 0.0).otherwise(z)), self.m, self.n)
+        both = self.by_column(F.avg("v").alias("a"), F.stddev_samp("v").alias("s"))
+        z = divide(F.col("v") - F.col("a"), F.col("s"))
+        return Matrix(both.select("i", "j", F.when(F.abs(z) < 1e-16, 0.0).otherwise(z).alias("v")), self.m, self.n)
 
     def normalize(self, type: str = "sum") -> Matrix:
-        w = Window.partitionBy("j")
-        scale = F.sum("v").over(w) if type == "sum" else F.sqrt(F.sum(F.col("v") * F.col("v")).over(w))
-        return Matrix(self.df.withColumn("v", F.when(scale == 0, 0.0).otherwise(F.col("v") / F.nullif(scale, F.lit(0.0)))), self.m, self.n)
+        both = self.by_column((F.sum("v") if type == "sum" else F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("s"))
+        return Matrix(both.select("i", "j", F.when(F.col("s") == 0, 0.0).otherwise(F.col("v") / F.nullif(F.col("s"), F.lit(0.0))).alias("v")), self.m, self.n)
 
     def sym_normalize(self) -> Matrix:
         d = self.df.where("i = j").select(F.col("i").alias("k"), F.col("v").alias("d"))
@@ -533,13 +574,23 @@ class Matrix:
         return self.divide(b, reverse=True)
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """df with r, its rank from 0 in an order, by a range sort: partition offsets plus local row numbers."""
+    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    local = spread.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    counts = spread.groupBy("_part").agg(F.count("*").alias("n"))  # one row a partition
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return local.join(F.broadcast(before), "_part").withColumn("r", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+
+
 def range_rank(keys: DataFrame) -> DataFrame:
-    """(i, r): ranks from 0 by key descending, then i, by a range sort: partition offsets plus local row numbers."""
-    spread = keys.repartitionByRange(F.col("key").desc(), F.col("i")).withColumn("p", F.spark_partition_id())
-    local = spread.withColumn("l", F.row_number().over(Window.partitionBy("p").orderBy(F.col("key").desc(), "i")) - 1)
-    counts = spread.groupBy("p").agg(F.count("*").alias("n"))  # one row a partition
-    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    return local.join(F.broadcast(before), "p").select("i", (F.col("o") + F.col("l")).alias("r"))
+    """(i, r): ranks from 0 by key descending, then i."""
+    return numbered(keys, F.col("key").desc(), F.col("i")).select("i", "r")
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, and what orders the lines of text files: p (file), b (block) and o (place within a task)."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o"))
 
 
 def row_measure(measure: str, x: np.ndarray, y: np.ndarray, inverse: np.ndarray | None = None) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,38 @@ class HiddenMarkov:
             path.append(int(step[path[-1]]))
         return path[::-1], float(np.exp(-now.min()))
 
+    def over(self, sequences: DataFrame, what: str) -> DataFrame:
+        """Every sequence's forward, backward, gamma (seq_id, t, state, v), xi (also state2) or likelihood (seq_id, v)."""
+
+        def run(frames):
+            import pandas as pd
+
+            for frame in frames:
+                out = []
+                for name, symbols in zip(frame["seq_id"], frame["symbols"]):
+                    seq = list(symbols)
+                    if what == "likelihood":
+                        out.append((name, -1, -1, -1, self.likelihood(seq) if seq else 1.0))
+                    elif seq and what == "xi":
+                        x = self.xi(seq)
+                        out += [(name, t, i, j, float(x[t, i, j])) for t in range(len(x)) for i in range(len(self.pi)) for j in range(len(self.pi))]
+                    elif seq:
+                        f, scale = self.forward(seq)
+                        x = {"forward": lambda: f, "backward": lambda: self.backward(seq, scale), "gamma": lambda: self.gamma(seq)}[what]()
+                        out += [(name, t, i, -1, float(x[i, t])) for t in range(x.shape[1]) for i in range(len(x))]
+                yield pd.DataFrame(out, columns=["seq_id", "t", "state", "state2", "v"])
+
+        rows = sequences.select("seq_id", "symbols").mapInPandas(run, "seq_id long, t int, state int, state2 int, v double")
+        return rows.select("seq_id", "v") if what == "likelihood" else rows if what == "xi" else rows.drop("state2")
+
+    def transitions(self, spark) -> DataFrame:
+        """(state, state2, v) by name."""
+        return spark.createDataFrame([(a, b, float(self.a[i, j])) for i, a in enumerate(self.states) for j, b in enumerate(self.states)], "state string, state2 string, v double")
+
+    def emissions(self, spark) -> DataFrame:
+        """(state, symbol, v) by name."""
+        return spark.createDataFrame([(a, b, float(self.b[i, j])) for i, a in enumerate(self.states) for j, b in enumerate(self.alphabet)], "state string, symbol string, v double")
+
     def decode(self, sequences: DataFrame) -> DataFrame:
         """(seq_id, path, probability) of every sequence."""
 
@@ -116,22 +150,43 @@ class HiddenMarkov:
 
     def generate(self, length: int, seed: int = 0) -> list[int]:
         draw = np.random.default_rng(seed)
-        pick = lambda p: int(draw.choice(len(p), p=p / p.sum()))
-        state, out = pick(self.pi), []
+        state, out = pick(self.pi, draw), []
         for _ in range(length):
-            out.append(pick(self.b[state]))
-            state = pick(self.a[state])
+            out.append(self.generate_symbol(state, draw))
+            state = pick(self.a[state], draw)
         return out
 
+    def generate_symbol(self, state: int, draw: np.random.Generator) -> int:
+        """A symbol by the emissions of a state."""
+        return pick(self.b[state], draw)
+
+    def idx_to_states(self, df: DataFrame, column: str = "idx") -> DataFrame:
+        """Adds name, the state of a number."""
+        return self._named(df, column, self.states)
+
+    def idx_to_symbols(self, df: DataFrame, column: str = "idx") -> DataFrame:
+        """Adds name, the symbol of a number."""
+        return self._named(df, column, self.alphabet)
+
+    def _named(self, df: DataFrame, column: str, names: list[str]) -> DataFrame:
+        return df.withColumn("name", F.try_element_at(F.array(*[F.lit(n) for n in names]), F.col(column).cast("int") + 1))
+
     def encode(self, df: DataFrame, column: str, names: str = "alphabet") -> DataFrame:
         """Adds idx, the number of a symbol or state."""
         table = df.sparkSession.createDataFrame([(s, k) for k, s in enumerate(getattr(self, names))], "_s string, idx int")
         return df.join(F.broadcast(table), F.col(column) == F.col("_s"), "left").drop("_s")  # the model's own names
 
 
+def pick(chances: np.ndarray, draw: np.random.Generator) -> int:
+    return int(draw.choice(len(chances), p=chances / chances.sum()))
+
+
 class RelevanceVectors:
     """Tipping's sparse Bayesian classifier on a design matrix that fits the driver."""
 
+    def __init__(self, used=(), weights=(), bias: float = 0.0):
+        self.used, self.weights, self.bias, self.marginal = np.array(used, dtype=int), np.array(weights, dtype=float), bias, math.nan
+
     def train(self, phi: np.ndarray, t: np.ndarray, alpha: float | None = None, bias: bool = True, rounds: int = 10_000) -> RelevanceVectors:
         x = np.hstack([phi, np.ones((len(phi), 1))]) if bias else phi
         a = np.full(x.shape[1], 1.0 / len(x) ** 2 if alpha is None else alpha)
@@ -142,6 +197,7 @@ class RelevanceVectors:
             if not len(used):
                 break
             w, cov, loglik = posterior_mode(x[:, used], t, w, a)
+            self.marginal = loglik + 0.5 * (np.linalg.slogdet(cov)[1] + np.log(a).sum())
             new = np.maximum(1 - a * np.diag(cov), 1e-12) / np.maximum(w * w, 1e-300)
             shift, a = np.abs(np.log(new) - np.log(a)).max(), new
             if shift < 1e-3:
@@ -151,6 +207,22 @@ class RelevanceVectors:
         self.used, self.weights = used[inner], w[inner]
         return self
 
+    def get_relevance_vectors(self, spark) -> DataFrame:
+        """(idx, weight) of the columns that are left, the bias as idx -1."""
+        rows = [(int(i), float(w)) for i, w in zip(self.used, self.weights)]
+        return spark.createDataFrame([*rows, *([(-1, float(self.bias))] if self.bias else [])], "idx long, weight double")
+
+    def classify_rows(self, rows: DataFrame) -> DataFrame:
+        """(i, c, p) of rows (i, x): the class and its probability, task by task."""
+        model = self
+
+        def run(frames):
+            for frame in frames:
+                found = model.classify(np.stack(frame["x"].to_numpy())) if len(frame) else np.zeros((0, 2))
+                yield frame[["i"]].assign(c=found[:, 0].astype(int), p=found[:, 1])
+
+        return rows.select("i", "x").mapInPandas(run, "i long, c int, p double")
+
     def classify(self, phi: np.ndarray) -> np.ndarray:
         """Class (0 or 1) and the probability of the predicted class, for each row."""
         y = phi[:, self.used] @ self.weights + self.bias

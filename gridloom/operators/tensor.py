@@ -161,13 +161,19 @@ def hosvd(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.einsum("ijk,ip,jq,kr->pqr", x, *factors), factors
 
 
-def cp(x: np.ndarray, k: int, nonnegative: bool = False, rounds: int = 2500, seed: int = 0) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Alternating least squares (non-negative: row by row); unit-length columns, their weights, squared error."""
+def cp(x: np.ndarray, k: int, nonnegative: bool = False, rounds: int = 2500, seed: int = 0, symmetric: bool = False, start: Sequence[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Alternating least squares (non-negative: row by row); unit-length columns, their weights, squared error.
+
+    symmetric: the second mode's factor is the first's; start: the first factors, random by seed without.
+    """
     draw = np.random.default_rng(seed)
-    factors = [draw.random((s, k)) for s in x.shape]
+    factors = [draw.random((s, k)) for s in x.shape] if start is None else [np.array(f, dtype=float) for f in start]
     weights, before = np.ones(k), np.inf
     for _ in range(rounds):
         for n in range(3):
+            if symmetric and n == 1:
+                factors[1] = factors[0]
+                continue
             a, b = [factors[q] for q in range(3) if q != n]
             gram, right = (a.T @ a) * (b.T @ b), unfolded(x, n) @ khatri_rao(a, b)
             new = np.stack([fnnls(gram, r) for r in right]) if nonnegative else right @ np.linalg.pinv(gram)

@@ -36,10 +36,9 @@ class TimeSeries(Matrix):
 
     def detrend(self, p: int = 1) -> TimeSeries:
         """Residuals of a least-squares polynomial of degree p in t / n, t from 1."""
-        w = Window.partitionBy("j")
         t = (F.col("i") + 1) / float(self.m)
         if p == 0:
-            return TimeSeries(self.df.withColumn("v", F.col("v") - F.avg("v").over(w)), self.m, self.n)
+            return TimeSeries(self._centred(), self.m, self.n)
         if p == 1:
             fit = self.df.withColumn("t", t).groupBy("j").agg(F.regr_slope("v", "t").alias("b"), F.regr_intercept("v", "t").alias("a"))
             return TimeSeries(self.df.join(fit, "j").select("i", "j", (F.col("v") - F.col("a") - F.col("b") * t).alias("v")), self.m, self.n)
@@ -59,7 +58,7 @@ class TimeSeries(Matrix):
         return TimeSeries(self.df.join(fitted, "j").select("i", "j", (F.col("v") - trend).alias("v")), self.m, self.n)
 
     def _centred(self) -> DataFrame:
-        return self.df.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("j")))
+        return self.by_column(F.avg("v").alias("a")).select("i", "j", (F.col("v") - F.col("a")).alias("v"))
 
     def autocovariance(self, lags: int | None = None) -> Matrix:
         """Sums of centred products at lags 0 to lags - 1, not divided."""
@@ -94,10 +93,11 @@ class TimeSeries(Matrix):
 
 
 def warp(x: np.ndarray, y: np.ndarray, derivative: bool = False) -> tuple[list[tuple[int, int]], float]:
-    """Symmetric dynamic time warping of two series (rows are times): the path and its cost by its length.
+    """Symmetric dynamic time warping of two series (rows are times): the path (times from 1) and its cost by its length.
 
-    Both are padded by their last rows. A diagonal step costs the distance, a step along one series a quarter of the
-    distances it spans, the borders half of theirs; ties prefer the diagonal, then x.
+    Both series are padded by their first row in front and their last behind. From the pads in front, a diagonal step
+    costs the distance, a step along one series a quarter of the distances it spans, steps along a border half of
+    theirs; ties prefer the diagonal, then x. With derivative, distances off the borders are those of the slopes.
     """
 
     def slope(z: np.ndarray) -> np.ndarray:
@@ -107,32 +107,35 @@ def warp(x: np.ndarray, y: np.ndarray, derivative: bool = False) -> tuple[list[t
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 
-    px, py = np.vstack([x, x[-1:]]), np.vstack([y, y[-1:]])
+    px, py = np.vstack([x[:1], x, x[-1:]]), np.vstack([y[:1], y, y[-1:]])
     plain = distances(px, py)
     d = distances(slope(px), slope(py)) if derivative else plain
     m, n = len(x), len(y)
-    cost, step = np.zeros((m, n)), np.zeros((m, n), dtype=int)
-    for i in range(1, m):
-        cost[i, 0], step[i, 0] = cost[i - 1, 0] + plain[i, 0] / 2, 1
-    for j in range(1, n):
-        cost[0, j], step[0, j] = cost[0, j - 1] + plain[0, j] / 2, 3
-    for i in range(1, m):
-        for j in range(1, n):
+    cost, step = np.zeros((m + 1, n + 1)), np.zeros((m + 1, n + 1), dtype=int)
+    cost[1:, 0], step[1:, 0] = np.cumsum(plain[1 : m + 1, 0] / 2), 1
+    cost[0, 1:], step[0, 1:] = np.cumsum(plain[0, 1 : n + 1] / 2), 3
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
             options = ((cost[i - 1, j - 1] + d[i, j], 2), (cost[i - 1, j] + (d[i, j] + d[i, j + 1]) / 4, 1), (cost[i, j - 1] + (d[i, j] + d[i + 1, j]) / 4, 3))
             cost[i, j], step[i, j] = min(options, key=lambda o: o[0])
-    path, i, j = [(m - 1, n - 1)], m - 1, n - 1
+    path, i, j = [], m, n
     while i or j:
+        path.append((max(i, 1), max(j, 1)))
         s = step[i, j]
         i, j = i - (s in (1, 2)), j - (s in (2, 3))
-        path.append((i, j))
-    return path[::-1], float(cost[-1, -1] / len(path))
+    return path[::-1], float(cost[-1, -1] / max(1, len(path)))
 
 
 def align(pairs: DataFrame, derivative: bool = False) -> DataFrame:
-    """(pair, score) of pairs of series given as (pair, x, y) with arrays of rows; every pair is a task of its own."""
+    """(pair, score, alignment) of pairs of series given as (pair, x, y) with arrays of rows; every pair is one call.
+
+    alignment: the times of x, a line end, the times of y.
+    """
 
     def one(frames):
         for frame in frames:
-            yield frame[["pair"]].assign(score=[warp(np.array(list(map(list, x))), np.array(list(map(list, y))), derivative)[1] for x, y in zip(frame["x"], frame["y"])])
+            found = [warp(np.array(list(map(list, x))), np.array(list(map(list, y))), derivative) for x, y in zip(frame["x"], frame["y"])]
+            lines = ["\n".join(" ".join(str(p[side]) for p in path) for side in (0, 1)) for path, _ in found]
+            yield frame[["pair"]].assign(score=[score for _, score in found], alignment=lines)
 
-    return pairs.mapInPandas(one, "pair long, score double")
+    return pairs.mapInPandas(one, "pair long, score double, alignment string")

@@ -12,7 +12,7 @@ from gridloom.operators import cluster, decomp, imaging, labware, sequences, ten
 from gridloom.operators.kernels import Kernel
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.tensor import Cube
-from gridloom.plans import handles, inputs
+from gridloom.plans import handles, inputs, solvers
 from gridloom.plans.inputs import A, C, G, H, K, L, M, O, T
 from gridloom.sources import container
 
@@ -355,5 +355,6 @@ register("container_groups", lambda s, d: container.list_children(inputs.paths(s
 register("container_all_groups", lambda s, d: container.list_below(inputs.paths(s, d)), out(H, "path, len(string_split(path, '/'))::INTEGER AS depth", "FROM H WHERE kind = 'group'"))
 register("container_datasets", lambda s, d: inputs.paths(s, d).where("kind = 'dataset'").select("parent", "name"), out(H, "parent, name", "FROM H WHERE kind = 'dataset'"))
 register("container_slice", lambda s, d: container.hyperslab(inputs.embeddings(s, d).df.select(F.array("i", F.col("j").cast("long")).alias("idx"), F.col("v").alias("value")), [1, 2], [3, 10], [100, 4], [2, 3]).select(F.col("idx")[0].alias("i"), F.col("idx")[1].alias("j"), F.round("value", 6).alias("v")), out(M, "i, j::BIGINT AS j, round(v, 6) AS v", "FROM M WHERE i >= 1 AND i < 1 + 99 * 3 + 2 AND (i - 1) % 3 < 2 AND j >= 2 AND j < 2 + 3 * 10 + 3 AND (j - 2) % 10 < 3"))
-QUERIES |= handles.QUERIES
-SQL |= handles.SQL
+for module in (handles, solvers):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
