@@ -214,7 +214,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", spans: s
     names = df.columns
     at, spans_type = names.index(text), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     added = [] if spans is None else [free_name(names, spans)]
-    gone = materialise(repeated_units(df, text, key), "repeats")
+    gone = repeated_units(df, text, key)
 
     def cut(batches):
         for batch in batches:
