@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import per_batch, small_batches
+from gridloom.llm.common import materialise, per_batch, small_batches
 
 #: The base kinds, in the order of their listing.
 KINDS = ("assign", "access", "hex", "novel")
@@ -68,11 +68,24 @@ class Novelty:
 
 
 def corpus_identifiers(df: DataFrame, text: str = "text", most: int = IDENTIFIERS) -> str:
-    """The letter runs that stand in most documents, the most frequent last, where the compressor finds them cheapest."""
+    """The letter runs that stand in most documents, the most frequent last, where the compressor finds them cheapest.
+
+    Counts fall in bins of a twelfth of their size; the highest bins that hold `most` runs in all are taken whole, so the
+    driver reads a row for each bin and at most that many runs, whatever the corpus.
+    """
     runs = F.array_distinct(F.regexp_extract_all(F.col(text).cast("string"), F.lit(IDENTIFIER), F.lit(0)))
-    counts = df.select(F.explode(runs).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
-    found = counts.orderBy(F.desc("n"), "run").limit(most).collect()  # at most so many
-    return " ".join(r["run"] for r in reversed(found))
+    counts = df.select(F.explode(runs).alias("run")).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialise(counts.withColumn("bin", F.floor(F.log2("n") * 8)), "identifiers")
+    held, least = 0, None
+    for r in counts.groupBy("bin").agg(F.count("*").alias("runs")).orderBy(F.desc("bin")).collect():  # at most 8 * 64 rows
+        held += r["runs"]
+        if held > most:
+            break
+        least = r["bin"]
+    if least is None:
+        return ""
+    found = counts.where(F.col("bin") >= least).collect()  # at most so many
+    return " ".join(r["run"] for r in sorted(found, key=lambda r: (r["n"], r["run"])))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -207,6 +207,15 @@ def test_secrets(docs, odd, empty):
     assert brute_base("secret:token:abcdefg") == secrets.base_spans("secret:token:abcdefg") == []
 
 
+def test_corpus_identifiers(spark):
+    rows = [(i, " ".join(["userToken connection", *[f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}zz"], "q8Zk3TnV0xYw7LrJ2mPd5sHb"])) for i in range(60)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(secrets.corpus_identifiers(df).split()) == {"user", "Token", "connection"}  # of the key no run of letters is long enough
+    assert secrets.corpus_identifiers(df, most=2) == "" == secrets.corpus_identifiers(df.where("doc_id > 80"))
+    primed, plain = secrets.Novelty("connection user Token"), secrets.Novelty()
+    assert primed.added("x ", "connectionUserToken") <= plain.added("x ", "connectionUserToken")
+
+
 def test_novelty():
     find = lambda t: [t[a:b] for a, _, b in secrets.novel_spans(t, [], secrets.Novelty())]
     assert find("auth header Bearer q8Zk3TnV0xYw7LrJ2mPd5sHb then") == ["q8Zk3TnV0xYw7LrJ2mPd5sHb"]
