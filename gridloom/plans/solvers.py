@@ -278,7 +278,7 @@ def written(s: SparkSession, d: str, extra: str | None = None) -> str:
     return path
 
 
-register("graph_read_from_file", lambda s, d: Graph.read(s, written(s, d, "1\t0\t7.5")).edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), "w").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "w"), f"WITH {G} SELECT src, dst, CASE WHEN src = 0 AND dst = 1 THEN 7.5 ELSE w END::DOUBLE AS w FROM G")
+register("graph_read_from_file", lambda s, d: Graph.read(s, written(s, d, "1\t0\t7.5")).edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), "w").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "w"), f"WITH {G} SELECT src, dst, w FROM G WHERE NOT (src = 0 AND dst = 1) UNION ALL SELECT 0, 1, 7.5")
 
 
 def file_to_matrix(s: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """The array operators against NumPy, DuckDB and invariants."""
 
 import duckdb
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +251,87 @@ def test_queries_against_sql(spark, sf_dir, name):
     own, want = (x[columns].sort_values(columns).reset_index(drop=True) for x in (own, want))
     for c in columns:
         assert np.allclose(own[c], want[c]) if own[c].dtype.kind in "if" else (own[c] == want[c]).all()
+
+
+def plain_warp(x, y):
+    """The recursion of the warping as it is written, over padded series."""
+    from functools import lru_cache
+
+    px, py = [x[0], *x, x[-1]], [y[0], *y, y[-1]]
+    d = lambda i, j: math.dist(px[i], py[j])
+
+    @lru_cache(None)
+    def best(i, j):
+        if i == 0 and j == 0:
+            return 0.0, 0
+        if j == 0:
+            return best(i - 1, 0)[0] + d(i, 0) / 2, best(i - 1, 0)[1] + 1
+        if i == 0:
+            return best(0, j - 1)[0] + d(0, j) / 2, best(0, j - 1)[1] + 1
+        options = [
+            (best(i - 1, j - 1)[0] + d(i, j), 0, best(i - 1, j - 1)[1] + 1),
+            (best(i - 1, j)[0] + (d(i, j) + d(i, j + 1)) / 4, 1, best(i - 1, j)[1] + 1),
+            (best(i, j - 1)[0] + (d(i, j) + d(i + 1, j)) / 4, 2, best(i, j - 1)[1] + 1),
+        ]
+        cost, _, length = min(options)
+        return cost, length
+
+    cost, length = best(len(x), len(y))
+    return cost / length
+
+
+def test_warp_by_its_recursion():
+    assert timeseries.warp(np.array([[0.0]]), np.array([[5.0]])) == ([(1, 1)], 5.0)
+    draw = np.random.default_rng(7)
+    for m, n in ((12, 9), (1, 6), (6, 1), (5, 5), (15, 20)):
+        x, y = draw.random((m, 2)), draw.random((n, 2))
+        path, score = timeseries.warp(x, y)
+        assert score == pytest.approx(plain_warp(x.tolist(), y.tolist()))
+        assert path[-1] == (m, n) and all(b[0] - a[0] in (0, 1) and b[1] - a[1] in (0, 1) for a, b in zip(path, path[1:]))
+
+
+def test_components_of_a_long_chain(spark):
+    ids = list(range(1000))
+    np.random.default_rng(1).shuffle(ids)
+    edges = [(a, b, 1.0) for a, b in zip(ids, ids[1:])] + [(5000, 5001, 1.0), (6000, 6000, 1.0)]
+    got = {r["id"]: r["component"] for r in Graph(spark.createDataFrame(edges, "src long, dst long, w double")).connected_components().collect()}
+    assert got == {**{i: 0 for i in ids}, 5000: 5000, 5001: 5000, 6000: 6000}
+
+
+def test_products_in_blocks(spark):
+    draw = np.random.default_rng(2)
+    x, y = draw.random((300, 600)), draw.random((600, 5))
+    assert np.allclose(Matrix.from_array(spark, x).multiply(Matrix.from_array(spark, y)).to_numpy(), x @ y)
+    u, s, v = decomp.tall_svd(Matrix.from_array(spark, y))
+    assert np.allclose((u.to_numpy() * s) @ v.T, y) and np.allclose(u.to_numpy().T @ u.to_numpy(), np.eye(5))
+
+
+def test_weighted_factorisations(spark):
+    draw = np.random.default_rng(3)
+    x = draw.random((30, 2)) @ draw.random((2, 8))
+    seen = (draw.random(x.shape) < 0.8).astype(float)
+    w, h = decomp.wnmf(Matrix.from_array(spark, x), 2, seen, seed=1)
+    assert np.abs(seen * (x - w @ h)).sum() < 0.05 * x.sum()
+    labels = np.zeros((30, 1))
+    labels[::2] = x[::2, :1]
+    w, h, b = decomp.ssnmf(Matrix.from_array(spark, x), 2, labels, 1.0, weights=seen, seed=1)
+    assert np.abs(seen * (x - w @ h)).sum() < 0.05 * x.sum() and np.abs(labels[::2] - (w @ b)[::2]).sum() < 0.1 * labels.sum()
+
+
+NAMES = """matrix_eigen matrix_nnls matrix_wnmf matrix_load_matrix matrix_is_symmetric ts_align_pairs kernel_rwr graph_read_from_file graph_file_to_matrix cube_cp
+fcm_fuzzy_cmeans_manhattan gmm_cluster_covariances hmm_gamma hmm_train hmm_viterbi rvm_classify labware_well_data labware_sample_name labware_retrieve imaging_object_get_image
+imaging_image_png imaging_object_class container_file_mount container_group_move container_dataset_write_data""".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_queries_against_sql(spark, sf_dir, name):
+    db = duckdb.connect()
+    db.sql("SET TimeZone = 'UTC'")
+    for table in "region nation customer supplier part orders lineitem events embeddings pages".split():
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    got = QUERIES[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    listed = ", ".join(f'"{c}"' for c in columns)
+    want = db.execute(f"SELECT {listed} FROM ({SQL[name]})").fetchall()
+    plain = lambda rows: sorted((tuple(str(float(v) + 0.0) if isinstance(v, float) else str(v) for v in r) for r in rows))
+    assert plain(got.select(*columns).collect()) == plain(want)
