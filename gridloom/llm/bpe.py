@@ -6,8 +6,8 @@ token, and last tokens of longer prefixes follow from those of shorter ones. Dis
 (their sorted order is its depth-first order); the traversal keeps the last tokens of the path from the root, so the
 states of a shared prefix are computed once. The ids of a word are read backwards along its last tokens.
 
-Defined results: null text is empty (no id, empty decoding); repeated rows give repeated rows; an empty table gives an
-empty result; other columns are ignored.
+Defined results: null text is empty (no id, empty decoding); repeated rows give repeated rows; very long texts are encoded
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """For each text: how many ids, the ids as decimals joined by commas, and the decoded bytes."""
-        split = [[part if part in self.voc.special else RUNS.findall(part) for part in (self.special.split(t) if self.special and "<|" in t else (t,)) if part] for t in texts]
+        split = [[part if part in self.voc.special else RUNS.findall(part) for part in (self.special.split(t) if any(x in t for x in self.voc.special) else (t,)) if part] for t in texts]
         known = self.learn([run for parts in split for part in parts if isinstance(part, list) for run in part])
         out = []
         for parts in split:
