@@ -1,14 +1,21 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
 Documents are encoded, cut only where longer than the capacity, and the pieces are packed so that few sequences are
-needed. Pieces are range-sorted by length, longest first, and every round takes all pieces of one length at once: a
-sweep over the sorted gaps finds the successor of that length (the smallest gap that holds it), the pieces of the
-round are matched to the gaps of that size by rank, the gaps shrink, and the sweep repeats until the round is placed.
-
-Lengths are whole numbers from 1 to the capacity, so the sorted pieces are held as runs (length, how many): at most
-`capacity` rows, whatever the size of the corpus. Gaps are runs of neighbouring sequence numbers with the same gap.
-The sweeps over runs take place on the driver; ranking pieces within their length and giving every piece the place of
-its rank are distributed, with hot lengths salted over buckets.
+needed. Pieces are counted by length before they are shuffled: a run is a length with the ranks of its pieces, and as
+lengths are whole numbers up to the capacity, there are at most `capacity` runs, whatever the size of the corpus. Gaps
+are runs of neighbouring sequence numbers with the same gap.
+
+Pieces above half of the capacity open a sequence each, as in any packing. Then every round deals the runs of pieces
+and gaps to ranges of their sizes, one task a range, and all ranges sweep at once: from the longest length down, a sweep
+matches the pieces to their successor (the smallest gap that holds them). Where more pieces want a gap than it holds,
+those of lower rank get it; the others go on to the next successor, and beyond the last gap of the range to the next
+round, whose ranges are twice as wide. Gaps shrink by what they took and go to the range of their new size. No piece
+takes a gap that a longer one of another range could take, as that range holds larger gaps only. In the round whose one
+range holds all sizes, pieces without a gap open new sequences.
+
+Every round is a job over tables of runs in the shared folder; the driver reads totals, and at the end the flows (which
+ranks of a length go to which sequences), whose number depends on the capacity and not on the rows. Ranking pieces
+within their length and giving every piece the place of its rank are distributed, with hot lengths salted over buckets.
 
 Defined results: null text is an empty document (one piece, only the end id); repeated rows are packed each; an empty
 table gives no piece; other columns are ignored; a null doc_id is kept.
@@ -16,8 +23,11 @@ table gives no piece; other columns are ignored; a null doc_id is kept.
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +40,12 @@ from gridloom.llm.tokens import CHUNK_CHARS, drops_space, space_memo, spliced_id
 #: Pieces that one salted bucket of a length holds on average.
 BUCKET_ROWS = 200_000
 
+#: Ranges of sizes in the first round; every round halves them.
+RANGES = 8
+
+#: Columns of a flow; runs of pieces and gaps have the same, with their size as length.
+FLOW = ("length", "rank", "n", "first", "per", "offset")
+
 
 def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each piece: key, piece, start, length and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
@@ -58,16 +74,17 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
     return source.mapInArrow(per_batch(make), f"_key {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_key", key)
 
 
-def sweep(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Places runs of equal lengths; the flows (length, first rank, how many, first sequence, per sequence, offset) and the number of sequences.
+def sweep(runs: dict[int, int], capacity: int, ranks: dict[int, int] | None = None, gaps: dict[int, list[tuple[int, int]]] | None = None, opens: bool = True) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Matches runs of pieces to gaps, longest first; the flows (length, first rank, how many, first sequence, per sequence, offset) and the number of sequences opened.
 
+    runs has how many pieces of each length there are, ranks their first ranks (0 where absent), gaps the runs (first
+    sequence, how many) of each gap; all are updated to what is left. Without opens, pieces that no gap holds are left.
     Rank r of a flow goes to sequence first + (r - rank) // per, at offset + (r - rank) % per * length.
     """
-    import bisect
-
     flows: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, how many)
-    sizes: list[int] = []
+    ranks = {} if ranks is None else ranks
+    gaps = {} if gaps is None else gaps
+    sizes = sorted(gaps)
     opened = 0
 
     def leave(gap: int, first: int, count: int) -> None:
@@ -78,7 +95,7 @@ def sweep(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int
             gaps[gap].append((first, count))
 
     for length in sorted(runs, reverse=True):
-        left, rank = runs[length], 0
+        left, rank = runs.pop(length), ranks.pop(length, 0)
         while left:
             at = bisect.bisect_left(sizes, length)
             if at < len(sizes):
@@ -86,10 +103,13 @@ def sweep(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int
                 first, count = gaps[gap].pop()
                 if not gaps[gap]:
                     del gaps[gap], sizes[at]
-            else:
+            elif opens:
                 gap, first = capacity, opened
                 count = -(-left // (capacity // length))
                 opened += count
+            else:
+                runs[length], ranks[length] = left, rank
+                break
             per = gap // length
             full = min(count, left // per)
             if full:
@@ -104,14 +124,53 @@ def sweep(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int
     return flows, opened
 
 
+def matched(runs: DataFrame, capacity: int) -> DataFrame:
+    """Flows of all runs (length, n), round by round."""
+
+    def row(kind: str, size, rank, n, first, per, offset) -> list:
+        return [F.lit(kind).alias("kind"), *[(x if hasattr(x, "alias") else F.lit(x)).cast("long").alias(c) for c, x in zip(FLOW, (size, rank, n, first, per, offset))]]
+
+    length, n, half = F.col("length"), F.col("n"), F.col("length") * 2 > capacity
+    own = F.shiftleft(length.cast("long"), 40)  # sequences of the long pieces; those of the last round count from 0
+    flows = [runs.where(half).select(*row("flow", length, 0, n, own, 1, 0)).drop("kind")]
+    state = runs.where(~half).select(*row("piece", length, 0, n, 0, 0, 0)).unionAll(runs.where(half & (length < capacity)).select(*row("gap", F.lit(capacity) - length, 0, n, own, 0, 0)))
+    ranges = RANGES
+    while ranges:
+        state = materialise(state.withColumn("range", F.floor(F.col("length") * ranges / (capacity + 1))).groupBy("range").applyInArrow(_range_sweep(capacity, ranges == 1), state.schema), "round")
+        flows.append(state.where("kind = 'flow'").drop("kind"))
+        state = state.where("kind != 'flow'")
+        ranges //= 2
+    return reduce(DataFrame.unionAll, flows)
+
+
+def _range_sweep(capacity: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        runs, ranks, gaps = {}, {}, {}
+        # in a fixed order, so that a task that runs again finds the same flows
+        for kind, size, rank, n, first in sorted(zip(*[table.column(c).to_pylist() for c in ("kind", "length", "rank", "n", "first")])):
+            if kind == "piece":
+                runs[size], ranks[size] = n, rank
+            else:
+                gaps.setdefault(size, []).append((first, n))
+        flows, _ = sweep(runs, capacity, ranks, gaps, last)
+        rows = [("flow", *f) for f in flows]
+        rows += [("piece", size, ranks[size], n, 0, 0, 0) for size, n in runs.items()]
+        rows += [("gap", size, 0, n, first, 0, 0) for size, found in gaps.items() for first, n in found]
+        columns = list(zip(*rows)) or [()] * 7
+        return pa.table([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["kind", *FLOW])
+
+    return run
+
+
 def pack(pieces: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds sequence_id and offset to a frame with a column length (1 to capacity)."""
     spark = pieces.sparkSession
-    runs = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    if any(not 0 < x <= capacity for x in runs):
+    runs = materialise(pieces.groupBy("length").agg(F.count("*").alias("n")), "runs")  # at most `capacity` rows
+    total, hot, least, most = runs.agg(F.sum("n"), F.max("n"), F.min("length"), F.max("length")).first()
+    if total and not 0 < least <= most <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    flows, _ = sweep(runs, capacity)
-    total, hot = sum(runs.values()), max(runs.values(), default=0)
+    total, hot = total or 0, hot or 0
+    flows = [tuple(r) for r in matched(runs, capacity).collect()]  # their number depends on the capacity, not on the rows
     buckets = max(1, math.ceil(hot / BUCKET_ROWS), spark.sparkContext.defaultParallelism if total > BUCKET_ROWS else 1, 16)
     names = pieces.columns
     salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))

@@ -123,6 +123,29 @@ def test_sweep_is_best_fit_decreasing():
         assert sum(f[2] for f in flows) == len(items)
 
 
+@pytest.mark.parametrize("cap", [97, 4096])
+def test_packing_rounds(spark, cap):
+    """Rounds over ranges need no more sequences than best-fit decreasing, and every place is valid."""
+    draw = random.Random(cap)
+    for low, high, n in ((1, cap, 700), (cap // 4, cap // 2, 500), (1, cap // 30, 300), (cap, cap, 20), (cap // 2, cap // 2 + 2, 60)):
+        items = [draw.randint(low, high) for _ in range(n)]
+        got = packing.pack(spark.createDataFrame(list(enumerate(items)), "doc_id long, length long"), cap, ("doc_id",)).collect()
+        assert sorted(r["length"] for r in got) == sorted(items)
+        assert sorted(r["doc_id"] for r in got) == list(range(n))
+        places = defaultdict(list)
+        for r in got:
+            places[r["sequence_id"]].append((r["offset"], r["length"]))
+        for found in places.values():
+            found.sort()
+            assert [x for x, _ in found] == [sum(y for _, y in found[:k]) for k in range(len(found))]
+            assert sum(y for _, y in found) <= cap
+        gaps = []
+        for x in sorted(items, reverse=True):
+            fit = min((g for g in gaps if g >= x), default=None)
+            gaps.append(cap - x) if fit is None else gaps.__setitem__(gaps.index(fit), fit - x)
+        assert len(places) <= len(gaps)
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
