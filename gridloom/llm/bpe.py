@@ -26,8 +26,11 @@ from gridloom.llm.common import Memo, binary_lists, parts_of, per_batch, small_b
 
 #: Unicode White_Space, as the tokenizer's pattern means by \s.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Runs between which the pattern of byte-level BPE never joins characters.
-RUNS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters of the Latin and Cyrillic blocks (no character in these ranges is anything else).
+LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u052f"
+#: Runs between which the pattern of byte-level BPE never joins characters: letters up to an ASCII character that is none
+#: (so that words are found again whatever mark follows them), or everything up to white space.
+RUNS = re.compile(rf" ?[{LETTERS}]++(?![^\x00-\x7f])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 MEMO_ENTRIES = 300_000
@@ -148,23 +151,24 @@ class Codec:
         specials = sorted(self.voc.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
-    def learn(self, runs: list[str]) -> dict[str, tuple[int, bytes, bytes]]:
-        """The map from runs to (how many ids, the ids as decimals each with a comma, the decoded bytes)."""
+    def learn(self, runs: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The map from runs to (the ids as decimals each with a comma, the decoded bytes)."""
         missing = self.runs.missing(runs)
         if missing:
-            split = {run: [w.encode() for w in PATTERN.findall(run)] for run in missing}
+            # nothing but letters behind a space is one word of the pattern
+            split = {run: [run.encode()] if run.removeprefix(" ").isalpha() else [w.encode() for w in PATTERN.findall(run)] for run in missing}
             new = self.words.missing({w for parts in split.values() for w in parts})
             words, made = self.words.young, self.voc.bytes
             for word, ids in encode_words(new, self.voc).items():
                 decoded = b"".join([made[t] for t in ids])
-                words[word] = len(ids), b"".join([b"%d," % t for t in ids]), word if decoded == word else decoded
+                words[word] = b"".join([b"%d," % t for t in ids]), word if decoded == word else decoded
             young = self.runs.young
             for run, parts in split.items():
                 if len(parts) == 1:
                     young[run] = words[parts[0]]
                 else:
                     found = [words[w] for w in parts]
-                    young[run] = sum(x[0] for x in found), b"".join(x[1] for x in found), b"".join(x[2] for x in found)
+                    young[run] = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
         return self.runs.young
 
     def encode_many(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
@@ -173,16 +177,14 @@ class Codec:
         known = self.learn([run for parts in split for part in parts if isinstance(part, list) for run in part])
         out = []
         for parts in split:
-            count, ids, decoded = 0, [], []
+            found = []
             for part in parts:
                 if isinstance(part, str):
-                    count, ids, decoded = count + 1, [*ids, b"%d," % self.voc.special[part]], [*decoded, part.encode()]
+                    found.append((b"%d," % self.voc.special[part], part.encode()))
                 else:
-                    found = list(map(known.__getitem__, part))
-                    count += sum([x[0] for x in found])
-                    ids.append(b"".join([x[1] for x in found]))
-                    decoded.append(b"".join([x[2] for x in found]))
-            out.append((count, b"".join(ids)[:-1], b"".join(decoded)))
+                    found.extend(map(known.__getitem__, part))
+            ids, decoded = map(b"".join, zip(*found)) if found else (b"", b"")
+            out.append((ids.count(b","), ids[:-1], decoded))
         return out
 
     def encode(self, text: str) -> tuple[int, bytes, bytes]:
