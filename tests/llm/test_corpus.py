@@ -123,6 +123,17 @@ def test_sweep_is_best_fit_decreasing():
         assert sum(f[2] for f in flows) == len(items)
 
 
+def test_bpe_mixed_scripts():
+    """Texts of letters, marks, digits, spaces and special strings in any order, against the library."""
+    own, codec, draw = Tokenizer.from_file(queries.BYTE_BPE), bpe.Codec(queries.BYTE_BPE), random.Random(5)
+    pool = [*"abcXYZ  \n\t'.,!?-_09 st", "é", "ß", "ж", "漢", "²", "½", "\u0301", "\u2003", "\xa0", "ʼ", "'s", "'ll", "×", "😀", "<|endoftext|>"]
+    texts = ["".join(draw.choice(pool) for _ in range(draw.randrange(60))) for _ in range(2000)]
+    for text, (n, ids, decoded) in zip(texts, codec.encode_many(texts)):
+        want = own.encode(text, add_special_tokens=False).ids
+        assert (n, ids.decode()) == (len(want), ",".join(map(str, want))), text
+        assert decoded.decode("utf-8", "replace") == own.decode(want, skip_special_tokens=False)
+
+
 @pytest.mark.parametrize("cap", [97, 4096])
 def test_packing_rounds(spark, cap):
     """Rounds over ranges need no more sequences than best-fit decreasing, and every place is valid."""
