@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from gridloom.llm.common import free_name, materialise, small_batches
+from gridloom.llm.common import free_name, materialise_mapped, small_batches
 
 #: Ends of lines, and of sentences.
 BOUNDARY = regex.compile(r"\n|(?<=[\p{STerm}…])[ \t]+|(?<=[。！？｡．])")
@@ -134,7 +134,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def every_unit(df: DataFrame, text: str, key: str) -> DataFrame:
-    """_key, _doc (hash of the text), pos, hi and lo (digest) of every unit."""
+    """_key, _doc (hash of the text), pos, hi and lo (digest) of every unit, written to the shared folder."""
     source = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_doc"), F.col(text).cast("string").alias("_text"))
 
     def cut(batches):
@@ -147,7 +147,7 @@ def every_unit(df: DataFrame, text: str, key: str) -> DataFrame:
             columns = [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(pos.astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "_doc", "pos", "hi", "lo"])
 
-    return source.mapInArrow(cut, f"_key {source.schema['_key'].dataType.simpleString()}, _doc long, pos int, hi long, lo long")
+    return materialise_mapped(source, cut, f"_key {source.schema['_key'].dataType.simpleString()}, _doc long, pos int, hi long, lo long", "units")
 
 
 def differs(batch: pa.RecordBatch, columns: list[int]) -> np.ndarray:
@@ -195,10 +195,10 @@ def flag(batches):
 def repeated_units(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """_key, _doc and repeats (positions of the units that an earlier one equals) of every document that has some."""
     small_batches(df.sparkSession)
-    every = materialise(every_unit(df, text, key), "units")
+    every = every_unit(df, text, key)
     order = ["hi", "lo", F.col("_key").asc_nulls_last(), "_doc", "pos"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in every.schema)
-    flagged = materialise(every.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(flag, f"{kinds}, kind int, part int"), "flags")
+    flagged = materialise_mapped(every.repartitionByRange(*order).sortWithinPartitions(*order), flag, f"{kinds}, kind int, part int", "flags")
     # two rows a task, as for the bounds of a range sort
     edges = sorted(flagged.where("kind > 0").select("part", "kind", "hi", "lo").collect())
     again = [b["part"] for a, b in zip(edges, edges[1:]) if b["kind"] == 1 and (a["hi"], a["lo"]) == (b["hi"], b["lo"])]

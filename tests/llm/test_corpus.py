@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridloom.llm import bpe, langid, lines, mtree, packing, quality, queries, secrets, simhash, tokens, warc
+from gridloom.llm import bpe, common, langid, lines, mtree, packing, quality, queries, secrets, simhash, tokens, warc
 
 LONG = " ".join(f"word{i % 997} Zeile{i % 31}." for i in range(20_000))
 ODD = [None, "", " \n\t ", "a", "a b", "A  b\nA  b", "İß Ḧ é 中文 😀", "token = abc password:'s3cretpw' AKIA" + "A" * 20 + " " + "0af9" * 9, "<|endoftext|> x<|endoftext|>  ", "the the the " * 40, "x" * 5000, LONG, "A b\u0085c\x1cd\x0be\x0cf"]
@@ -704,3 +705,23 @@ def test_language_fit_is_whole(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.sample_counts(df, 600, 2, "doc_id", "text", "lang")
     assert {k: sorted(v) for k, v in got.items()} == {"en": ["▁four", "▁one"], "de": ["▁drei", "▁eins"]}
+
+
+def test_line_dedup_tasks_write_their_units(spark, tmp_path, monkeypatch):
+    """No file of units or flags comes from the JVM, which starts processes for each; the key's type stays; lost attempts are not read."""
+    rows = [(i, f"one two three four five six seven eight {i % 3}\nline {i % 5} of them") for i in range(60)] + [(None, "line 1 of them"), (61, None)]
+    df = spark.createDataFrame(rows, "n long, text string").repartition(6)
+    want = Counter(r["text"] for r in lines.dedup_lines(df, key="n").collect())
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}/with space")
+    kinds = ("n", "cast(n AS decimal(12,2))", "lpad(cast(n AS string), 4, '0')", "timestamp_seconds(n)", "date_from_unix_date(cast(n AS int))", "lpad(cast(n AS string), 4, '0')::binary")
+    for kind in kinds:
+        got = lines.dedup_lines(df.selectExpr(f"CASE WHEN n IS NOT NULL THEN {kind} END AS doc_id", "text"))
+        assert Counter(r["text"] for r in got.collect()) == want
+    files = [f for f in (tmp_path / "with space").rglob("*") if f.is_file()]
+    assert {f.parent.name.split("-")[0] for f in files} == {"units", "flags"}
+    assert not [f.name for f in files if f.suffix == ".crc" or not f.name.endswith(".parquet")]
+    out = common.materialise_mapped(df.select("n"), lambda batches: batches, "n long", "some")
+    folder = Path(out.inputFiles()[0].removeprefix("file://").replace("%20", " ")).parent
+    (folder / "_000000-99-lost.parquet").write_bytes(next(folder.glob("*.parquet")).read_bytes())
+    assert spark.read.parquet(f"file://{folder}").count() == len(rows)
+    assert common.materialise_mapped(df.select("n").where("n < 0"), lambda batches: batches, "n long", "none").collect() == []
