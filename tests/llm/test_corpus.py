@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -725,3 +726,19 @@ def test_line_dedup_tasks_write_their_units(spark, tmp_path, monkeypatch):
     (folder / "_000000-99-lost.parquet").write_bytes(next(folder.glob("*.parquet")).read_bytes())
     assert spark.read.parquet(f"file://{folder}").count() == len(rows)
     assert common.materialise_mapped(df.select("n").where("n < 0"), lambda batches: batches, "n long", "none").collect() == []
+
+
+def test_shuffle_files_go_with_their_action(spark, tmp_path, monkeypatch):
+    """The range sort's files go when the rows are written, without a collection of the driver's garbage."""
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}")
+    held = spark.conf.get(common.FREE_SHUFFLES)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_0\.data", manager.getAllFiles().mkString("\n")))
+    before = shuffles()
+    out = common.materialise_mapped(spark.range(0, 1000, 1, 3).repartitionByRange(4, "id"), lambda batches: batches, "id long", "some")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert out.count() == 1000 and spark.conf.get(common.FREE_SHUFFLES) == held
