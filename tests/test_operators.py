@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from gridloom.operators import cluster, decomp, imaging, kernels, labware, sequences, tensor, timeseries
 from gridloom.operators.graph import Graph, limited_walks
-from gridloom.operators.matrix import Matrix, row_measure
+from gridloom.operators.matrix import Matrix, rounded, row_measure
 from gridloom.operators.tensor import Cube
 from gridloom.plans.catalog import QUERIES, SQL
 from gridloom.sources.container import Container
@@ -335,3 +335,24 @@ def test_queries_against_sql(spark, sf_dir, name):
     want = db.execute(f"SELECT {listed} FROM ({SQL[name]})").fetchall()
     plain = lambda rows: sorted((tuple(str(float(v) + 0.0) if isinstance(v, float) else str(v) for v in r) for r in rows))
     assert plain(got.select(*columns).collect()) == plain(want)
+
+
+def test_row_pairs_shuffle_rows_once(spark, a, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 5), ("PART_BLOCKS", 1), ("PAIR_CELLS", 7)):
+        monkeypatch.setattr(f"gridloom.operators.matrix.{name}", value)
+    for pairs, want in ((a.get_distances("euclidean"), row_measure("euclidean", X, X)), (kernels.Kernel.compute_from_matrix(a, "linear"), X @ X.T)):
+        plan = pairs.df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan  # blocks are read again, not copied for each other block
+        assert pairs.df.count() == 144
+        same(pairs, want)
+    inverse = np.linalg.inv(np.cov(X.T))
+    d = X[:, None] - X[None]
+    assert np.allclose(row_measure("mahalanobis", X, X, inverse), np.einsum("abi,ij,abj->ab", d, inverse, d))
+    assert np.allclose(row_measure("mahalanobis", X, X, -inverse), -np.einsum("abi,ij,abj->ab", d, inverse, d))
+
+
+def test_rounded(spark):
+    v = [0.00005, -0.00005, 1.23445, -0.00001, 2.0, 1e300, -1e300, float("inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in v], "v double").select(rounded(F.col("v"), 4)).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] for x in v]
+    assert str(got) == str([x if x is None else x + 0.0 for x in want])
