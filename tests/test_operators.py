@@ -356,3 +356,13 @@ def test_rounded(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in v], "v double").select(rounded(F.col("v"), 4)).collect()]
     want = [duckdb.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] for x in v]
     assert str(got) == str([x if x is None else x + 0.0 for x in want])
+
+
+
+def test_array_frame_beyond_the_local_limit(spark, sf_dir, a, monkeypatch):
+    for kind in ("flat", "rag"):
+        square = a.submatrix(0, 0, 5, 5)
+        want = square.as_array(kind) if kind == "flat" else [v for row in square.as_array(kind) for v in row]
+        assert [(r["n"], r["v"]) for r in square.array_frame(kind).orderBy("n").collect()] == list(enumerate(want))
+    monkeypatch.setattr("gridloom.operators.matrix.LOCAL_CELLS", 10)
+    assert QUERIES["matrix_as_array"](spark, sf_dir).count() == duckdb.execute(f"SELECT 64 * count(*) FROM '{sf_dir}/embeddings.parquet'").fetchone()[0]
