@@ -366,3 +366,14 @@ def test_array_frame_beyond_the_local_limit(spark, sf_dir, a, monkeypatch):
         assert [(r["n"], r["v"]) for r in square.array_frame(kind).orderBy("n").collect()] == list(enumerate(want))
     monkeypatch.setattr("gridloom.operators.matrix.LOCAL_CELLS", 10)
     assert QUERIES["matrix_as_array"](spark, sf_dir).count() == duckdb.execute(f"SELECT 64 * count(*) FROM '{sf_dir}/embeddings.parquet'").fetchone()[0]
+
+
+
+def test_power_method_with_near_eigenvalues(spark):
+    for gap in (1e-3, 1e-5):
+        value, vector = decomp.power_method(Matrix.from_array(spark, [[1.0, gap], [gap, 1.0]]), precision=1e-13)
+        assert value == pytest.approx(1 + gap, abs=1e-12)
+        same(vector, [[math.sqrt(0.5)], [math.sqrt(0.5)]])
+    assert decomp.power_method(Matrix.from_array(spark, [[-3.0, 0.0], [0.0, 2.999]]))[0] == pytest.approx(-3)
+    with pytest.raises(np.linalg.LinAlgError):
+        decomp.power_method(Matrix.from_array(spark, [[0.0, 1.0], [0.0, 0.0]]))
