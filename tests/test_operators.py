@@ -377,3 +377,10 @@ def test_power_method_with_near_eigenvalues(spark):
     assert decomp.power_method(Matrix.from_array(spark, [[-3.0, 0.0], [0.0, 2.999]]))[0] == pytest.approx(-3)
     with pytest.raises(np.linalg.LinAlgError):
         decomp.power_method(Matrix.from_array(spark, [[0.0, 1.0], [0.0, 0.0]]))
+
+
+
+def test_mean_of_random_at_other_sizes(spark, tmp_path):
+    # of 6,000 rows the mean is just below 1.5
+    spark.range(6000).selectExpr("id AS vec_id", "array_repeat(0.0, 64) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["matrix_random"](spark, str(tmp_path)).collect()[0].asDict() == {"n": 384000, "inside": 1, "different": 384000, "mean": 2.0}
