@@ -384,3 +384,19 @@ def test_mean_of_random_at_other_sizes(spark, tmp_path):
     # of 6,000 rows the mean is just below 1.5
     spark.range(6000).selectExpr("id AS vec_id", "array_repeat(0.0, 64) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert QUERIES["matrix_random"](spark, str(tmp_path)).collect()[0].asDict() == {"n": 384000, "inside": 1, "different": 384000, "mean": 2.0}
+
+
+
+def test_lines_of_many_blocks(spark, tmp_path):
+    settings = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    Matrix.grid(spark, 2000, 64, F.xxhash64("i", "j") % 1000000 + F.col("i")).to_file(str(tmp_path / "m"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        back = Matrix.load(spark, str(tmp_path / "m"))[0]
+        assert "rangepartitioning" not in back.df._jdf.queryExecution().executedPlan().toString()
+        assert back.m == 2000 and back.df.where("v = xxhash64(i, j) % 1000000 + i").count() == back.df.count() == 128000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
