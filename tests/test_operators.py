@@ -358,7 +358,6 @@ def test_rounded(spark):
     assert str(got) == str([x if x is None else x + 0.0 for x in want])
 
 
-
 def test_array_frame_beyond_the_local_limit(spark, sf_dir, a, monkeypatch):
     for kind in ("flat", "rag"):
         square = a.submatrix(0, 0, 5, 5)
@@ -368,7 +367,6 @@ def test_array_frame_beyond_the_local_limit(spark, sf_dir, a, monkeypatch):
     assert QUERIES["matrix_as_array"](spark, sf_dir).count() == duckdb.execute(f"SELECT 64 * count(*) FROM '{sf_dir}/embeddings.parquet'").fetchone()[0]
 
 
-
 def test_power_method_with_near_eigenvalues(spark):
     for gap in (1e-3, 1e-5):
         value, vector = decomp.power_method(Matrix.from_array(spark, [[1.0, gap], [gap, 1.0]]), precision=1e-13)
@@ -379,14 +377,12 @@ def test_power_method_with_near_eigenvalues(spark):
         decomp.power_method(Matrix.from_array(spark, [[0.0, 1.0], [0.0, 0.0]]))
 
 
-
 def test_mean_of_random_at_other_sizes(spark, tmp_path):
     # of 6,000 rows the mean is just below 1.5
     spark.range(6000).selectExpr("id AS vec_id", "array_repeat(0.0, 64) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert QUERIES["matrix_random"](spark, str(tmp_path)).collect()[0].asDict() == {"n": 384000, "inside": 1, "different": 384000, "mean": 2.0}
 
 
-
 def test_lines_of_many_blocks(spark, tmp_path):
     settings = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
     old = {k: spark.conf.get(k) for k in settings}
@@ -400,3 +396,31 @@ def test_lines_of_many_blocks(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_markov_frames_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr("gridloom.operators.sequences.FRAME_ROWS", 16)
+    seen = []
+    m = sequences.HiddenMarkov(2, 5, [[0.7, 0.3], [0.4, 0.6]], [[0.3, 0.3, 0.2, 0.1, 0.1], [0.1, 0.1, 0.2, 0.3, 0.3]])
+    data = [(k, m.generate(n, k) if n else []) for k, n in enumerate((30, 1, 0, 3, 2, 5))]
+
+    class Frames:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            import pandas as pd
+
+            seen[:] = list(run([pd.DataFrame(data, columns=["seq_id", "symbols"])]))
+            return spark.createDataFrame(pd.concat(seen), schema)
+
+    for what in ("forward", "backward", "gamma", "xi", "likelihood"):
+        got = [tuple(r) for r in m.over(Frames(), what).collect()]
+        assert max(map(len, seen)) <= 16
+        monkeypatch.setattr("gridloom.operators.sequences.FRAME_ROWS", 1 << 16)
+        assert got == [tuple(r) for r in m.over(Frames(), what).collect()] and len(seen) == 1
+        monkeypatch.setattr("gridloom.operators.sequences.FRAME_ROWS", 16)
+        if what == "xi":
+            assert got == [(k, t, i, j, m.xi(q)[t, i, j]) for k, q in data if q for t in range(len(q) - 1) for i in (0, 1) for j in (0, 1)]
+        if what == "gamma":
+            assert got == [(k, t, i, m.gamma(q)[i, t]) for k, q in data if q for t in range(len(q)) for i in (0, 1)]
